@@ -99,7 +99,7 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, block: int | None = None, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken, key.
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken.
 
     block: words of a slot; by default 1024, and less where the table is small, so that every
     source gets a thousand slots on average."""
@@ -107,17 +107,19 @@ def mix(docs: DataFrame, *, block: int | None = None, weights: tuple[int, ...] =
     return mix_sized(written(sized, "sizes"), block=block, weights=weights, copies=copies)
 
 
-def mix_sized(sized: DataFrame, *, block: int | None = None, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
-    """As mix(), from a written table doc_id, source, size."""
+def mix_sized(sized: DataFrame, *, block: int | None = None, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES, ident: str | None = None) -> DataFrame:
+    """As mix(), from a written table doc_id, source, size. ident: a column of it that tells documents
+    of one id apart and stays in the result."""
     plan = written(targets(sized, weights, copies), "targets")
     rows, words, sources = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.approx_count_distinct("source")).first()
     block = block or max(1, min(BLOCK, int(words) // (1000 * max(1, sources))))
     buckets = max(1, -(-rows // _BUCKET))
-    key = F.xxhash64("doc_id", "size", F.lit(41))
+    extra = [ident] if ident else []
+    order = F.xxhash64("doc_id", "size", *extra, F.lit(41))
     named = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", sized["source"].alias("source"), "size", "k", "source_size", "target", key.alias("key"), F.pmod(key, F.lit(buckets)).alias("bucket")
+        "doc_id", sized["source"].alias("source"), "size", "k", "source_size", "target", order.alias("_order"), F.pmod(order, F.lit(buckets)).alias("bucket"), *extra
     )
-    inside = Window.partitionBy("k", "bucket").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("k", "bucket").orderBy("_order", "doc_id", "size", *extra)
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = named.groupBy("k", "bucket").agg(F.sum("size").alias("n")).select("k", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # n: makes equal rows (same id and size) separate documents
@@ -125,7 +127,7 @@ def mix_sized(sized: DataFrame, *, block: int | None = None, weights: tuple[int,
         named.withColumns({"upto": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(inside)})
         .join(bases, ["k", "bucket"])
         .withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
-        .select("doc_id", "source", "size", "k", "source_size", "target", "bucket", "n", "start"),
+        .select("doc_id", "source", "size", "k", "source_size", "target", "bucket", "n", "start", *extra),
         "streams",
     )
     # every slot's rank -> epoch and block of its source, up to the target
@@ -146,7 +148,7 @@ def mix_sized(sized: DataFrame, *, block: int | None = None, weights: tuple[int,
     share = F.col("full") * (hi - lo) + F.greatest(F.lit(0), F.least(hi, F.coalesce("part", F.lit(0))) - lo)
     got = cuts.join(taken, ["k", "b"]).groupBy("k", "bucket", "n").agg(F.sum(share).cast("long").alias("taken"))
     return streamed.join(got, ["k", "bucket", "n"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "n", "bucket"
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *extra
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiltrel.llm import language, licenses, media, mixing, packing, quality, secrets
+from quiltrel.llm import language, licenses, media, mixing, neardup, packing, pii, quality, secrets
 from quiltrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,28 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(documents(spark, sf_dir)))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(documents(spark, sf_dir)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f
-    for f in (op1_secret_scan, op2_media_columns, op3_language_id, op4_source_mix, op6_license_scan, op7_quality_rules, op9_packing)
-}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.clusters(documents(spark, sf_dir))
+
+
+_ALL = (
+    op1_secret_scan,
+    op2_media_columns,
+    op3_language_id,
+    op4_source_mix,
+    op6_license_scan,
+    op7_quality_rules,
+    op8_personal_data,
+    op9_packing,
+    op10_near_duplicates,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
