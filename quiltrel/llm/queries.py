@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiltrel.llm import language, licenses, media, mixing, neardup, packing, pii, quality, secrets
+from quiltrel.llm import language, licenses, media, mixing, neardup, packing, pii, quality, secrets, substrings
 from quiltrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.text_media(documents(spark, sf_dir), with_media=False))
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(documents(spark, sf_dir))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ _ALL = (
     op2_media_columns,
     op3_language_id,
     op4_source_mix,
+    op5_repeated_substrings,
     op6_license_scan,
     op7_quality_rules,
     op8_personal_data,
