@@ -265,7 +265,8 @@ def _beside(texts: DataFrame, n: int, *lists: DataFrame) -> DataFrame:
     out = texts.select("k1", "k2", "raw", "copies")
     for i, found in enumerate(lists):
         own = found.repartition(n, "k1").groupBy("k1", "k2").agg(F.collect_list("at").alias(f"at{i}")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-        match = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+        # equality of k2 as a plain condition: the join's only key is then the one the table is bucketed by
+        match = (F.col("k1") == F.col("_k1")) & (F.col("k2") <= F.col("_k2")) & (F.col("k2") >= F.col("_k2"))
         out = out.join(own.hint("shuffle_hash"), match, "inner" if len(lists) == 1 else "left").drop("_k1", "_k2")
     return out
 
