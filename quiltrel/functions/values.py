@@ -114,20 +114,21 @@ class Lossy:
     def to_value(self) -> dict[str, Any]:
         return {"lossy": self.grid}
 
-    def column(self, x: Column) -> Column:
+    def column(self, x: Column, *, exact: bool = False) -> Column:
         """The door as a column, DECIMAL(38, s). A double whose shortest text has no more places than
-        a power-of-ten grid, and is below 2**52 grid steps, casts exactly; every other one goes
-        through the exact function."""
-        from pyspark.sql.functions import udf
-
+        a power-of-ten grid, and is below 2**52 grid steps, casts exactly. Any other double is
+        refused, or with exact=True every double goes through the rational function, row by row."""
         places = -self.grid.as_tuple().exponent
         kind = T.DecimalType(38, max(places, 0))
-        exact = udf(self.__call__, kind)
-        if self.grid != Decimal(1).scaleb(-places) or places < 0:
-            return exact(x)
+        if exact:
+            return F.udf(lambda v: None if v is None else self(v), kind)(x)
+        if places < 0 or self.grid != Decimal(1).scaleb(-places):
+            raise ValueRefused("a grid that is no power of ten needs exact=True")
         cast = x.cast(kind)
         same = (cast.cast("double") == x) & (F.abs(x) < float(Fraction(2**52) * Fraction(self.grid)))
-        return F.when(x.isNull(), F.lit(None).cast(kind)).when(same, cast).otherwise(exact(x))
+        return F.when(x.isNull(), F.lit(None).cast(kind)).when(same, cast).otherwise(
+            F.raise_error(F.concat(F.lit("not on the grid: "), x.cast("string"))).cast(kind)
+        )
 
 
 def canonical_column(cells: dict[str, tuple[Column, T.DataType]]) -> Column:
@@ -142,11 +143,12 @@ def canonical_column(cells: dict[str, tuple[Column, T.DataType]]) -> Column:
             text = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
             col = F.when(col.isNotNull(), F.struct(text.alias("$decimal")))
         fields.append(col.alias(name))
-    # control characters below 20 are written in upper-case hex by to_json, in lower case here
+    # to_json writes control characters in upper-case hex, the canonical text in lower case
     text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
-        text = F.when(text.contains(f"\\u{code:04X}"), F.replace(text, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))).otherwise(text) if code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)) else text
-    return text
+    lower = text
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        lower = F.replace(lower, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    return F.when(text.contains("\\u00"), lower).otherwise(text)
 
 
 def ref_column(text: Column) -> Column:

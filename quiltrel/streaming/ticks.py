@@ -78,7 +78,8 @@ class View:
                 out = D.without_dead(out, self.spark.read.parquet(self._path("dead", tick)))
             out.consolidated().df.write.mode("overwrite").parquet(self._path("view", tick))
         df = self.spark.read.parquet(self._path("view", tick))
-        return Rel(df, tuple(sorted(c for c in df.columns if not c.startswith("__"))))
+        names = tuple(sorted(c for c in df.columns if not c.startswith("__")))
+        return Rel(df, names, S.ZxWhy if "__w" in df.columns else S.Z)
 
     def run(self, feed: DataFrame, checkpoint: str) -> None:
         """A streaming feed until it is exhausted: one tick a micro-batch."""
