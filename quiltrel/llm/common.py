@@ -45,3 +45,12 @@ def text_or_empty(text: Column | str = "text") -> Column:
 def n_words(text: Column | str = "text") -> Column:
     """Number of words of a text (null: 0)."""
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
+
+
+#: Rows up to which a table of groups (languages, sources) is broadcast; beyond, it is joined by shuffle.
+SMALL = 10_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, a written table, with a broadcast hint if it has at most SMALL rows."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

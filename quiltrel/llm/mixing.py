@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltrel.llm.common import n_words, written
+from quiltrel.llm.common import broadcast_if_small, n_words, written
 
 WEIGHTS, COPIES, BLOCK = (5, 2, 1), 3, 1024
 _CHUNK = 1 << 16  # slots ranked together
@@ -116,7 +116,7 @@ def mix_sized(sized: DataFrame, *, block: int | None = None, weights: tuple[int,
     buckets = max(1, -(-rows // _BUCKET))
     extra = [ident] if ident else []
     order = F.xxhash64("doc_id", "size", *extra, F.lit(41))
-    named = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
+    named = sized.join(broadcast_if_small(plan), sized["source"].eqNullSafe(plan["source"])).select(
         "doc_id", sized["source"].alias("source"), "size", "k", "source_size", "target", order.alias("_order"), F.pmod(order, F.lit(buckets)).alias("bucket"), *extra
     )
     inside = Window.partitionBy("k", "bucket").orderBy("_order", "doc_id", "size", *extra)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltrel.llm.common import text_or_empty, written
+from quiltrel.llm.common import broadcast_if_small, text_or_empty, written
 from quiltrel.llm.textvec import U, hash_spans, mix, pieces, windows, words_of
 
 ORDER, BITS = 4, 5
@@ -255,11 +255,11 @@ def bands(measured: DataFrame) -> DataFrame:
 
 def judged(measured: DataFrame, reach: float = REACH) -> DataFrame:
     """measured -> with base_failed, low, high and kept. measured is read twice: write it first."""
-    rows = bands(measured)
+    rows = written(bands(measured), "bands")
     names = ("q25", "q75", "typical")
     own = rows.where(f"NOT everything AND n >= {MIN_DOCS}").select(F.col("lang").alias("_lang"), *(F.col(c).alias(f"_{c}") for c in names))
     whole = rows.where("everything").select(*names).first() or (None,) * 3
-    joined = measured.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    joined = measured.join(broadcast_if_small(own), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     q25, q75, typical = (F.coalesce(F.col(f"_{c}"), F.lit(v).cast("double")) for c, v in zip(names, whole, strict=True))
     width = reach * F.greatest(q75 - q25, F.lit(0.02)) * F.sqrt(1 + typical / F.greatest(F.col("word_chars"), F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
