@@ -1,12 +1,12 @@
 """Near-duplicates by ProbMinHash, banding and exact verification.
 
-A text's shingles are five consecutive words (fewer words: the text is one shingle), weighted
-1 + log2(occurrences). ProbMinHash draws each shingle's arrivals as a Poisson process whose rate
-is its weight and stops once the next arrival is later than every register's earliest; the
-winner in each of 168 registers is the signature, and two texts agree in a register with
-probability their probability Jaccard similarity. 28 bands of 6 registers find candidates
-(a pair at 0.8 is missed with probability 2e-4), and the Jaccard similarity of the shingle sets,
-computed exactly, decides: 0.8 or more is a link.
+A text's shingles are five consecutive words (fewer words: the text is one shingle), each of
+weight 1 however often it occurs, as the similarity that decides is of sets. ProbMinHash draws
+each shingle's arrivals as a Poisson process of that rate and stops once the next arrival is
+later than every register's earliest; the winner in each of 168 registers is the signature, and
+two texts agree in a register with probability the Jaccard similarity of their shingle sets. 28
+bands of 6 registers find candidates (a pair at 0.8 shares none with probability 2e-4), and that
+similarity, computed exactly, decides: 0.8 or more is a link.
 
 Within a bucket, all members are compared with its first and last member, not with each other.
 Two members not yet in one component are compared too unless the triangle inequality of the
@@ -82,8 +82,8 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, m:
 
 def band_keys(raws: list[bytes]) -> list[np.ndarray | None]:
     """28 bucket keys of each text; none for a text without words."""
-    doc, key, times = shingles(raws)
-    sig = signatures(doc, key, 1.0 + np.log2(times), len(raws))
+    doc, key, _ = shingles(raws)
+    sig = signatures(doc, key, np.ones(len(key)), len(raws))
     out = np.zeros((len(raws), BANDS), U)
     for j in range(ROWS):
         out = out * U(0x9E3779B97F4A7C15) + mix(sig.reshape(len(raws), BANDS, ROWS)[:, :, j] + U(j))
