@@ -1,7 +1,9 @@
 """License scan: a positional rare-token index over licence templates.
 
 Each text is handled on its own inside Arrow batches: one scan, no shuffle. Null is the empty
-text. The index is built from the fixed TEMPLATES below, so it has a constant size.
+text. The index is built from the fixed TEMPLATES below, so it has a constant size. Of each
+template it proposes by the rarest words, as many as it takes that the rest alone weigh too
+little to match: no alignment that would match is left out.
 """
 
 from __future__ import annotations
@@ -96,11 +98,10 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
 }
 LEAST = 0.6  # share of a template's IDF weight that must stand at one relative position
-RAREST = 24  # distinct licence words of a file, highest IDF first, whose postings are looked up
 
 
 class Index:
-    """word -> [(template, position)], with the IDF of each word over the templates."""
+    """rare word of a template -> [(template, position)], with the IDF of each word over the templates."""
 
     def __init__(self, templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES):
         self.words = {k: t.encode().split() for k, (t, _) in templates.items()}
@@ -108,40 +109,38 @@ class Index:
         seen = Counter(w for ws in self.words.values() for w in set(ws))
         self.idf = {w: math.log((1 + len(templates)) / n) for w, n in seen.items()}
         self.weight = {k: sum(self.idf[w] for w in ws) for k, ws in self.words.items()}
+        # the mandatory phrases decide; alignment tells a template's text from words that only share it
+        self.least = {k: LEAST if len(ws) <= 12 else LEAST / 2 for k, ws in self.words.items()}
         self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
         for k, ws in self.words.items():
-            for i, w in enumerate(ws):
-                self.postings[w].append((k, i))
+            rest = self.weight[k]
+            for w in sorted(set(ws), key=lambda w: (-self.idf[w], w)):
+                if rest < self.least[k] * self.weight[k] - 1e-9:
+                    break
+                rest -= self.idf[w] * ws.count(w)
+                self.postings[w] += [(k, i) for i, v in enumerate(ws) if v == w]
         #: one of these stands in every text that a template can match
         self.gate = sorted({max(p.split(), key=lambda w: self.idf.get(w, 0)) for ps in self.needs.values() for p in ps[:1]})
 
     def match(self, words: list[bytes], flat: bytes) -> dict[str, float]:
         """label -> coverage in 0 to 1 of every template found."""
-        held = defaultdict(list)
-        for i, w in enumerate(words):
-            if w in self.postings:
-                held[w].append(i)
-        rare = sorted(held, key=lambda w: (-self.idf[w], w))[:RAREST]
         allowed = {k for k in self.words if self._needed(k, flat)}
         out: dict[str, float] = {}
         if not allowed:
             return out
         tried: set[tuple[str, int]] = set()
-        for w in rare:  # intersect: each posting proposes where its template would start
-            for at in held[w]:
-                for k, i in self.postings[w]:
-                    if k not in allowed or (k, at - i) in tried:
-                        continue
-                    tried.add((k, at - i))
-                    own, start = self.words[k], at - i
-                    got = sum(
-                        self.idf[v] for j, v in enumerate(own) if 0 <= start + j < len(words) and words[start + j] == v
-                    )
-                    share = got / self.weight[k]
-                    # the mandatory phrases decide; alignment tells a template's text from words that only share it
-                    need = LEAST if len(own) <= 12 else LEAST / 2
-                    if share >= need and share > out.get(k, 0):
-                        out[k] = share
+        for at, w in enumerate(words):  # intersect: each posting proposes where its template would start
+            for k, i in self.postings.get(w, ()):
+                if k not in allowed or (k, at - i) in tried:
+                    continue
+                tried.add((k, at - i))
+                own, start = self.words[k], at - i
+                got = sum(
+                    self.idf[v] for j, v in enumerate(own) if 0 <= start + j < len(words) and words[start + j] == v
+                )
+                share = got / self.weight[k]
+                if share >= self.least[k] and share > out.get(k, 0):
+                    out[k] = share
         return out
 
     def _needed(self, label: str, flat: bytes) -> bool:
