@@ -8,7 +8,8 @@ corpus that it is not in (halves by a hash of the text), so that no text vouches
 Lower and upper bands of log perplexity are taken per language from all texts.
 
 Null texts are empty: no words, perplexity null, rejected by the base rule. Languages are bands
-of their own, null one more; a language with under MIN_DOCS scored texts uses the bands of all.
+of their own, null one more; they shrink towards the bands of all texts by PRIOR / (PRIOR + scored
+texts), but hold the language's own quartiles at least, however rare it is.
 Repeated rows and ties give equal verdicts; other columns are ignored. An empty table gives an
 empty result.
 """
@@ -30,7 +31,7 @@ from quiltrel.llm.textvec import U, hash_spans, mix, pieces, windows, words_of
 
 ORDER, BITS = 4, 5
 SPACE = 1 << (ORDER * BITS)
-MIN_DOCS = 50
+PRIOR = 50  # texts that the bands of all texts count for in those of a language
 #: Bands: this many interquartile ranges beyond the quartiles of log perplexity, times
 #: sqrt(1 + typical size / size): the mean over a short text scatters more.
 REACH = 4.0
@@ -463,10 +464,13 @@ def judged(measured: DataFrame, reach: float = REACH) -> DataFrame:
     """measured -> with base_failed, low, high and kept. measured is read twice: write it first."""
     rows = written(bands(measured), "bands")
     names = ("q25", "q75", "typical")
-    own = rows.where(f"NOT everything AND n >= {MIN_DOCS}").select(F.col("lang").alias("_lang"), *(F.col(c).alias(f"_{c}") for c in names))
+    own = rows.where("NOT everything").select(F.col("lang").alias("_lang"), F.col("n").alias("_n"), *(F.col(c).alias(f"_{c}") for c in names))
     whole = rows.where("everything").select(*names).first() or (None,) * 3
     joined = measured.join(broadcast_if_small(own), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    q25, q75, typical = (F.coalesce(F.col(f"_{c}"), F.lit(v).cast("double")) for c, v in zip(names, whole, strict=True))
+    share = F.coalesce(F.col("_n") / (F.col("_n") + PRIOR), F.lit(0.0))
+    common = [F.lit(v).cast("double") for v in whole]
+    q25, q75, typical = (share * F.coalesce(F.col(f"_{c}"), v) + (1 - share) * v for c, v in zip(names, common, strict=True))
+    q25, q75 = F.least(q25, "_q25"), F.greatest(q75, "_q75")  # nulls do not count
     width = reach * F.greatest(q75 - q25, F.lit(0.02)) * F.sqrt(1 + typical / F.greatest(F.col("word_chars"), F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(q25 - width, q75 + width), F.lit(True))

@@ -72,3 +72,18 @@ def test_any_number_of_letters():
             want.update((v[i - 4] << 21 | v[i - 3], v[i - 2] << 42 | v[i - 1] << 21 | v[i]) for i in range(4, len(v)))
         assert dict(zip(zip(hi.tolist(), lo.tolist()), np.bincount(gram).tolist())) == want
         assert np.bincount(who, minlength=len(texts)).tolist() == [len(t) for t in texts]
+
+
+def test_bands_of_a_rare_language(spark, tmp_path):
+    rows = [("en", 1.5 + 0.001 * (i % 100)) for i in range(2000)]
+
+    def widths(n):
+        some = [("es", 2.6 + 0.001 * (i % 20)) for i in range(n)]
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame([(k, p, 100, 0, 600) for k, p in rows + some], "lang string, log_ppl double, n_words long, n_repeat_words long, word_chars long").write.parquet(path)
+        found = quality.judged(spark.read.parquet(path)).where("lang = 'es'").collect()
+        assert all(r.kept for r in found)
+        return found[0].low, found[0].high
+
+    (low, high), (low_, high_) = widths(49), widths(50)
+    assert abs(low - low_) < 0.1 and abs(high - high_) < 0.1
