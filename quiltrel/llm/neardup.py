@@ -11,7 +11,8 @@ similarity, computed exactly, decides: 0.8 or more is a link.
 Within a bucket, all members are compared with its first and last member, not with each other.
 Two members not yet in one component are compared too unless the triangle inequality of the
 Jaccard distance, by their distances from the first member, proves them apart; so no link
-between texts that share a bucket is lost. Components of the links are the groups.
+between texts joining two groups is lost between texts that share a bucket. Components of the links are the
+groups. All links of a group are then counted exactly, by blocks of its texts (see degrees()).
 
 Identical texts are one class before anything else; null texts are no duplicates of anything,
 texts without words only of identical texts. Repeated rows belong to one class. Extra columns
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltrel.llm.common import written
@@ -134,11 +135,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("j"))
 
 
-def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) -> (rows, classes, grouped), all written.
+def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text) -> (rows, classes, grouped, sets), all written.
 
     rows: doc_id, h (16 bytes of the text, null for null). classes: uid, h, class_id (least doc_id),
-    n, same (rows with that doc_id). grouped: uid, comp, n_links, for classes with a link."""
+    n, same (rows with that doc_id). grouped: uid, comp, for classes with a link. sets: uid, shingles,
+    for classes that share a bucket."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("h"), F.col("text").cast("binary").alias("raw"))
     signed = written(named.mapInArrow(_banded, "doc_id long, h binary, bands array<long>"), "signed")
     rows = signed.select("doc_id", "h")
@@ -162,8 +164,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFr
         links = links.unionByName(_cross(members, tried, links, sets, similar))
         links = written(links.distinct(), "links")
     labels = components(links)
-    degree = links.select(F.col("a").alias("uid")).union(links.select("b")).groupBy("uid").agg(F.count("*").alias("n_links"))
-    return rows, classes, written(labels.join(degree, "uid"), "grouped")
+    return rows, classes, written(labels, "grouped"), sets
 
 
 def _cross(members: DataFrame, tried: DataFrame, links: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -182,11 +183,84 @@ def _cross(members: DataFrame, tried: DataFrame, links: DataFrame, sets: DataFra
     return verified(fresh, sets).where(F.col("j") >= similar)
 
 
+#: Weight of a block of texts: each weighs its shingles and EACH more.
+BLOCK, EACH = 1 << 17, 512
+
+
+def _tiled(similar: float):
+    """Batches sorted by (comp, i, j) -> (uid, n): the links of each text within its tile, which holds the
+    sets of blocks i and j; pairs of one block count in the tile i = j."""
+
+    def count(rows: list[tuple]) -> tuple[list[int], np.ndarray]:
+        rows = sorted(rows, key=lambda x: x[3])  # block i first
+        block = np.array([x[3] for x in rows])
+        cut = int(np.searchsorted(block, block[0], "right"))
+        size = np.array([len(x[5]) for x in rows], np.float64)
+        own = rows[0][1] == rows[0][2]
+        if own:
+            cut = len(rows)
+        first, second = slice(0, cut), slice(0 if own else cut, len(rows))
+        who = np.repeat(np.arange(len(rows)), size.astype(np.int64))
+        _, name = np.unique(np.concatenate([x[5] for x in rows]), return_inverse=True)
+        order = np.argsort(name, kind="stable")
+        who, name = who[order], name[order]
+        both = np.zeros((cut, second.stop - second.start))
+        width = 4096
+        for lo in range(0, int(name[-1]) + 1 if len(name) else 0, width):
+            a, b = np.searchsorted(name, [lo, lo + width])
+            held = np.zeros((len(rows), width), np.float32)
+            held[who[a:b], name[a:b] - lo] = 1
+            both += held[first] @ held[second].T
+        linked = both / (size[first, None] + size[None, second] - both) >= similar
+        if own:
+            np.fill_diagonal(linked, False)
+            return [x[4] for x in rows], linked.sum(1)
+        return [x[4] for x in rows], np.concatenate([linked.sum(1), linked.sum(0)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            uid, n = count(held)
+            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(n, pa.int64())], names=["uid", "n"])
+
+        for batch in batches:
+            plain = [batch.column(i).to_pylist() for i in range(5)]
+            for k, row in enumerate(zip(*plain, strict=True)):
+                if held and held[0][:3] != row[:3]:
+                    yield out()
+                    held = []
+                held.append((*row, batch.column(5)[k].values.to_numpy()))
+        if held:
+            yield out()
+
+    return run
+
+
+def degrees(labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """labels (uid, comp) -> uid, n_links: the texts of its component at `similar` or more, all counted.
+
+    Every link is within a component. A component's texts by number of shingles are cut into blocks; a
+    tile is two blocks of it whose numbers do not rule a link out."""
+    sized = sets.join(labels, "uid").select("uid", "comp", F.size("shingles").alias("size"))
+    upto = F.sum(F.col("size").cast("long") + EACH).over(Window.partitionBy("comp").orderBy("size", "uid").rowsBetween(Window.unboundedPreceding, -1))
+    placed = written(sized.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / BLOCK)), "blocks")
+    blocks = placed.groupBy("comp", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    one = blocks.select("comp", F.col("block").alias("i"), F.col("most"))
+    two = blocks.select("comp", F.col("block").alias("j"), F.col("least"))
+    tiles = one.join(two, "comp").where((F.col("i") <= F.col("j")) & (F.col("most") >= (similar - 1e-9) * F.col("least"))).select("comp", "i", "j")
+    sides = tiles.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    met = placed.join(sides, ["comp", "block"]).join(sets, "uid").select("comp", "i", "j", "block", "uid", "shingles")
+    counted = met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tiled(similar), "uid long, n long")
+    return counted.groupBy("uid").agg(F.sum("n").alias("n_links"))
+
+
 def clusters(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs -> doc_id, class_id (least doc_id of its identical texts), cluster_id (least doc_id of its
-    group), cluster_size (rows in the group), n_links (of its text to different texts)."""
-    rows, classes, grouped = groups(docs, similar)
-    wide = classes.join(grouped, "uid")
+    group), cluster_size (rows in the group), n_links (of its text to different texts of the group, all
+    of them)."""
+    rows, classes, grouped, sets = groups(docs, similar)
+    wide = classes.join(grouped.join(degrees(grouped, sets, similar), "uid"), "uid")
     whole = wide.groupBy("comp").agg(F.min("class_id").alias("cluster_id"), F.sum("n").alias("cluster_size"))
     own = wide.join(whole, "comp").select("uid", "cluster_id", "cluster_size", "n_links")
     named = classes.select("uid", "h", "class_id", "n").join(own, "uid", "left")
@@ -203,7 +277,7 @@ def clusters(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each group: that of the least doc_id (of several rows with it, any one of
     the same text). Rows with a null text stay."""
-    _, classes, grouped = groups(docs, similar)
+    _, classes, grouped, _ = groups(docs, similar)
     comp = classes.join(grouped.select("uid", "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     chosen = comp.groupBy("comp").agg(F.min(F.struct("class_id", "uid", "h", "same")).alias("k")).select(F.col("k.h").alias("_h"), F.col("k.class_id").alias("_id"), F.col("k.same").alias("_same"))
     chosen = written(chosen, "chosen")

@@ -19,3 +19,23 @@ def test_repeated_lines_share_a_bucket(n, line, times):
         one, two = neardup.band_keys([text.encode(), f"{text} {' '.join([say(line)] * times)}".encode()])
         missed += not (one == two).any()
     assert missed <= 1
+
+
+def test_every_link_of_a_large_group_counts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16384)  # several blocks
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(300)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(300)] = word()
+        texts.append(" ".join(own))
+    texts += [" ".join(word() for _ in range(300)) for _ in range(5)]
+    doc, key, _ = neardup.shingles([t.encode() for t in texts])
+    sets = [set(key[doc == i].tolist()) for i in range(len(texts))]
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    out = neardup.clusters(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    assert {r.doc_id: r.n_links for r in out} == want
