@@ -15,7 +15,7 @@ between texts joining two groups is lost between texts that share a bucket. Comp
 groups. All links of a group are then counted exactly, by blocks of its texts (see degrees()).
 
 Identical texts are one class before anything else; null texts are no duplicates of anything,
-texts without words only of identical texts. Repeated rows belong to one class. Extra columns
+texts without words only of identical texts. Null doc_ids come after all others. Repeated rows belong to one class. Extra columns
 are ignored. An empty table gives no rows. Hot buckets reduce to two members by map-side
 aggregation; hot members and copies are joined under the adaptive splitting of skewed partitions.
 """
@@ -145,7 +145,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFr
     signed = written(named.mapInArrow(_banded, "doc_id long, h binary, bands array<long>"), "signed")
     rows = signed.select("doc_id", "h")
     by_id = signed.where("h IS NOT NULL").groupBy("h", "doc_id").agg(F.count("*").alias("c"), F.first("bands").alias("bands"))
-    by_text = by_id.groupBy("h").agg(F.min(F.struct("doc_id", "c")).alias("least"), F.sum("c").alias("n"), F.first("bands").alias("bands"))
+    by_text = by_id.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "c")).alias("least"), F.sum("c").alias("n"), F.first("bands").alias("bands"))
     classes = written(
         by_text.select(F.monotonically_increasing_id().alias("uid"), "h", F.col("least.doc_id").alias("class_id"), "n", F.col("least.c").alias("same"), "bands"),
         "classes",
@@ -156,7 +156,8 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFr
     star = members.select(F.col("first").alias("a"), F.col("uid").alias("b")).union(members.select(F.col("uid").alias("a"), F.col("last").alias("b")))
     pairs = written(star.where("a < b").distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b"))).distinct()
-    texts = named.join(classes.join(involved, "uid").select("uid", "h", F.col("class_id").alias("doc_id")), ["h", "doc_id"])
+    wanted = classes.join(involved, "uid").select("uid", F.col("h").alias("_h"), "class_id")
+    texts = named.join(wanted, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     sets = written(texts.select("uid", "raw").mapInArrow(_shingled, "uid long, shingles array<long>").dropDuplicates(["uid"]), "sets")
     tried = written(verified(pairs, sets), "tried")
     links = tried.where(F.col("j") >= similar)
@@ -279,7 +280,7 @@ def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     the same text). Rows with a null text stay."""
     _, classes, grouped, _ = groups(docs, similar)
     comp = classes.join(grouped.select("uid", "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    chosen = comp.groupBy("comp").agg(F.min(F.struct("class_id", "uid", "h", "same")).alias("k")).select(F.col("k.h").alias("_h"), F.col("k.class_id").alias("_id"), F.col("k.same").alias("_same"))
+    chosen = comp.groupBy("comp").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", "uid", "h", "same")).alias("k")).select(F.col("k.h").alias("_h"), F.col("k.class_id").alias("_id"), F.col("k.same").alias("_same"))
     chosen = written(chosen, "chosen")
     keyed = docs.select(F.struct("*").alias("_row"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_key"))
     match = (F.col("_key") == F.col("_h")) & F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id"))

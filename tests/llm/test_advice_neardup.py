@@ -39,3 +39,16 @@ def test_every_link_of_a_large_group_counts(spark, tmp_path, monkeypatch):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
     out = neardup.clusters(spark.read.parquet(f"{tmp_path}/docs")).collect()
     assert {r.doc_id: r.n_links for r in out} == want
+
+
+def test_copies_without_an_id_are_grouped(spark, tmp_path):
+    rng = random.Random(3)
+    some = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(2)]
+    near = [" ".join([*t[:-1], "end"]) for t in some]
+    a, b = (" ".join(t) for t in some)
+    rows = [(1, a), (None, a), (2, near[0]), (None, b), (3, near[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = sorted((r.cluster_id, r.cluster_size, r.n_links) for r in neardup.clusters(docs).collect())
+    assert out == [(1, 3, 1)] * 3 + [(3, 2, 1)] * 2
+    assert sorted(r.doc_id for r in neardup.deduplicated(docs).collect()) == [1, 3]
