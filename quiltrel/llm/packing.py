@@ -22,24 +22,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiltrel.llm.common import text_or_empty, written
+from quiltrel.llm.common import broadcast_if_small, text_or_empty, written
 
 LENGTH, END = 1024, 0
 
 
 class Tokens:
     """Ids of texts under a byte-level BPE. Texts of Latin letters go through the rank table of the
-    same vocabulary, which is faster; all others through the tokenizer file itself."""
+    same vocabulary, which is faster; all others, and those that hold the string of a special
+    token, through the tokenizer file itself."""
 
     def __init__(self, tokenizer: str, ranks: str | None = None, pattern: str | None = None):
         self.paths, self.pattern = (tokenizer, ranks), pattern
-        self._slow = self._fast = None
+        self._slow = self._fast = self._special = None
 
     def __getstate__(self):
-        return {"paths": self.paths, "pattern": self.pattern, "_slow": None, "_fast": None}
+        return {"paths": self.paths, "pattern": self.pattern, "_slow": None, "_fast": None, "_special": None}
+
+    def special(self) -> tuple[str, ...]:
+        """The strings that the tokenizer file takes out of a text before its rules apply."""
+        if self._special is None:
+            import json
+
+            with open(self.paths[0], encoding="utf-8") as f:
+                self._special = tuple(x["content"] for x in json.load(f).get("added_tokens", ()))
+        return self._special
 
     def ids(self, text: str) -> np.ndarray:
-        if self.paths[1] and (text.isascii() or max(text) < "ɐ"):
+        if self.paths[1] and (text.isascii() or max(text) < "ɐ") and not any(x in text for x in self.special()):
             if self._fast is None:
                 import tiktoken
 
@@ -51,7 +61,6 @@ class Tokens:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.paths[0])
-            self._slow.encode_special_tokens = True  # their strings in a text are ordinary text
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -97,10 +106,10 @@ def pack(docs: DataFrame, tokens: Tokens | None = None, length: int = LENGTH) ->
     """docs (doc_id, text) -> SCHEMA, one row a piece."""
     stream = tokenized(docs, tokens or public_tokens())
     totals = stream.groupBy("part").agg(F.max(F.col("start") + F.length("ids") / 4).cast("long").alias("n"))
-    # one row for each task of pass one: the window and the broadcast hold no more than that
+    # one row for each task of pass one: the window holds no more than that
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = stream.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "ids")
+    bases = written(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    placed = stream.join(broadcast_if_small(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
