@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiltrel.llm.common import broadcast_if_small, shared_folder, text_or_empty, written
 from quiltrel.llm.textvec import U, hash_spans, mix, pieces, windows, words_of
@@ -429,7 +430,7 @@ def measure(docs: DataFrame, model: CorpusModel, keep: tuple[str, ...] = ("doc_i
     shared = spark.sparkContext.broadcast(model)
     k = len(keep)
     inner = docs.select(*keep, text_or_empty().alias("_text"))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:k]] + [f"{m} long" for m in MEASURES] + ["log_ppl double"])
+    fields = T.StructType([*inner.schema.fields[:k], *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("log_ppl", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = shared.value
