@@ -4,11 +4,13 @@ Every language gets a codeword; one binary n-gram classifier per bit tells the l
 1 from those with a 0. A text gets one margin per bit, and the codeword of least weighted
 logistic loss names its language; a small lead over the next one flags ambiguity.
 
-Fitting reads a sample of labelled texts bounded by SAMPLE texts a language and MAX_LANGS
-languages (rarer ones, by count then name, are not learned); which texts, a hash of the text
-decides. Prediction uses the text alone, whole. A null text, or one without letters, is `und`
-with score 0. Without training texts every row is `und`. Repeated rows and ties give equal
-results (ties: the first language by code point). Extra columns are ignored.
+Fitting counts the n-grams of a sample of labelled texts, about SAMPLE different texts of every
+language; which, a hash of the text decides, so a text that stands a million times counts once
+and starves no other. Texts stay on the executors: what reaches the driver are a histogram of
+2 * BUCKETS counts a language and one row of margins a sampled text. Prediction uses the text
+alone, whole. A null text, or one without letters, is `und` with score 0. Without training texts
+every row is `und`. Repeated rows and ties give equal results (ties: the first language by code
+point). Extra columns are ignored. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quiltrel.llm.common import text_or_empty
+from quiltrel.llm.common import text_or_empty, written
 from quiltrel.llm.textvec import pieces
 
-SAMPLE, MAX_LANGS, BUCKETS = 1500, 512, 1 << 15
+SAMPLE, BUCKETS = 1500, 1 << 15
 AMBIGUOUS = 0.6  # score under which a prediction is flagged
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -105,52 +108,103 @@ class Model:
         return ["und" if n else self.langs[i] for i, n in zip(best, none, strict=True)], np.where(none, 0.0, score)
 
 
-def train(texts: list[str], langs: list[str]) -> Model:
-    """Binary classifiers from labelled texts: each bit's weight of an n-gram is the log ratio of its
-    share among languages with 1 and with 0, every language counting alike."""
-    names = sorted(set(langs))
+def histogram(texts: list[str]) -> np.ndarray:
+    """Counts of the buckets of pairs, then of triples."""
+    out = np.zeros(2 * BUCKETS, np.int64)
+    for lo in range(0, len(texts), 256):
+        two, three, *_ = _grams(texts[lo : lo + 256])
+        out[:BUCKETS] += np.bincount(two, minlength=BUCKETS)
+        out[BUCKETS:] += np.bincount(three, minlength=BUCKETS)
+    return out
+
+
+def untuned(names: list[str], counts: np.ndarray) -> Model:
+    """Binary classifiers from (languages, 2 * BUCKETS) counts: each bit's weight of an n-gram is the log
+    ratio of its share among languages with 1 and with 0, every language counting alike."""
     if not names:
         return Model([], np.ones((0, 1)), np.zeros((2 * BUCKETS, 1), np.float32), np.ones(1))
-    share = np.zeros((len(names), 2, BUCKETS))
-    for i, name in enumerate(names):
-        own = [t for t, x in zip(texts, langs, strict=True) if x == name]
-        for lo in range(0, len(own), 256):
-            two, three, *_ = _grams(own[lo : lo + 256])
-            share[i, 0] += np.bincount(two, minlength=BUCKETS)
-            share[i, 1] += np.bincount(three, minlength=BUCKETS)
-    share = share.reshape(len(names), -1)
-    share = (share + 0.02) / (share + 0.02).sum(1, keepdims=True)
     code = codebook(len(names))
     if len(names) == 1:
         return Model(names, code, np.zeros((2 * BUCKETS, 1), np.float32), np.ones(1))
+    share = counts + 0.02
+    share /= share.sum(1, keepdims=True)
     up, down = (code > 0).astype(float), (code < 0).astype(float)
     weights = np.log((up / up.sum(0)).T @ share) - np.log((down / down.sum(0)).T @ share)
-    model = Model(names, code, np.ascontiguousarray(weights.T, np.float32), np.ones(code.shape[1]))
-    m = np.concatenate([model.margins(texts[lo : lo + 256]) for lo in range(0, len(texts), 256)])
-    truth = code[[names.index(x) for x in langs]]
-    model.scale = float(4 / max(np.median(np.abs(m)), 1e-9))
-    right = np.clip((np.sign(m) == truth).mean(0), 0.01, 0.999)
-    model.trust = np.maximum(np.log(right / (1 - right)), 0.01)
-    model.trust /= model.trust.sum()
+    return Model(names, code, np.ascontiguousarray(weights.T, np.float32), np.ones(code.shape[1]))
+
+
+def tuned(model: Model, margins: np.ndarray, langs: list[str]) -> Model:
+    """Scale of the margins and trust in each bit, from the margins of labelled texts."""
+    if len(model.langs) > 1 and len(margins):
+        place = {x: i for i, x in enumerate(model.langs)}
+        truth = model.code[[place[x] for x in langs]]
+        model.scale = float(4 / max(np.median(np.abs(margins)), 1e-9))
+        right = np.clip((np.sign(margins) == truth).mean(0), 0.01, 0.999)
+        model.trust = np.maximum(np.log(right / (1 - right)), 0.01)
+        model.trust /= model.trust.sum()
     return model
 
 
+def train(texts: list[str], langs: list[str]) -> Model:
+    """In memory, from labelled texts."""
+    names = sorted(set(langs))
+    counts = np.array([histogram([t for t, x in zip(texts, langs, strict=True) if x == name]) for name in names], np.float64)
+    model = untuned(names, counts)
+    m = [model.margins(texts[lo : lo + 256]) for lo in range(0, len(texts), 256)] if len(names) > 1 else []
+    return tuned(model, np.concatenate(m) if m else np.zeros((0, 1)), langs)
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """Is crc32 of the id, as text, 2 modulo 4? A null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs (doc_id, text, lang): learns from rows that are not held out."""
+    """docs (doc_id, text, lang): learns from rows that are not held out. Languages are the labels' names:
+    one row each on the driver."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
+    # a hash of the text stands for it, so copies count once
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(place).alias("n")).collect()
     if not counts:
-        return train([], [])
+        return untuned([], np.zeros((0, 2 * BUCKETS)))
+    names = sorted(r["lang"] for r in counts)
     # about `sample` texts of each language: a share of the hash space, no sort of any group
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))))
-    chosen = usable.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    rows = chosen.select("text", "lang").limit(2 * sample * len(counts)).toArrow()
-    return train(rows["text"].to_pylist(), rows["lang"].to_pylist())
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / max(1, r["n"])))))
+    some = usable.where(place < share[F.col("lang")] * (1 << 30)).select("lang", "text")
+    texts = written(some.groupBy("lang", F.md5(F.col("text").cast("binary")).alias("h")).agg(F.first("text").alias("text")).select("lang", "text"), "labelled")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lo, hi in pieces(batch, 1):
+                part = batch.slice(lo, hi - lo)
+                langs, raw = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for name in sorted(set(langs)):
+                    more = histogram([t for t, x in zip(raw, langs, strict=True) if x == name])
+                    own[name] = own[name] + more if name in own else more
+        for name, c in own.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "at", "n"])
+
+    sums = texts.mapInArrow(counted, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    counts_of = np.zeros((len(names), 2 * BUCKETS))
+    row = {x: i for i, x in enumerate(names)}
+    counts_of[[row[x] for x in sums["lang"].to_pylist()], sums["at"].to_numpy()] = sums["n"].to_numpy()
+    model = untuned(names, counts_of)
+    if len(names) == 1:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in pieces(batch, 1):
+                part = batch.slice(lo, hi - lo)
+                m = shared.value.margins(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(m), pa.list_(pa.float64()))], names=["lang", "m"])
+
+    got = texts.mapInArrow(placed, "lang string, m array<double>").toArrow()
+    return tuned(model, np.array(got["m"].to_pylist()).reshape(-1, model.code.shape[1]), got["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -158,7 +212,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = len(keep)
     inner = docs.select(*keep, text_or_empty().alias("_text"))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:k]] + ["lang_pred string", "score double", "ambiguous boolean"])
+    own = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()))
+    fields = T.StructType([*inner.schema.fields[:k], *(T.StructField(*x) for x in own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
