@@ -3,13 +3,18 @@
 Each text is handled on its own inside Arrow batches: one scan, no shuffle. Null is the empty
 text. The index is built from the fixed TEMPLATES below, so it has a constant size. Of each
 template it proposes by the rarest words, as many as it takes that the rest alone weigh too
-little to match: no alignment that would match is left out.
+little to match: no alignment that would match is left out. Words may be put in or left out
+between a template's words: each counts that stands within GAP words of its place.
+
+A text without words has counts 0. Of ties the highest coverage counts. Whole texts are searched
+however long; repeated rows give equal results; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -97,7 +102,8 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("eclipse public license 2 0",),
     ),
 }
-LEAST = 0.6  # share of a template's IDF weight that must stand at one relative position
+LEAST = 0.6  # share of a template's IDF weight that must stand about one relative position
+GAP = 8
 
 
 class Index:
@@ -109,7 +115,8 @@ class Index:
         seen = Counter(w for ws in self.words.values() for w in set(ws))
         self.idf = {w: math.log((1 + len(templates)) / n) for w, n in seen.items()}
         self.weight = {k: sum(self.idf[w] for w in ws) for k, ws in self.words.items()}
-        # the mandatory phrases decide; alignment tells a template's text from words that only share it
+        # the mandatory phrases decide; alignment tells a template's text from words that only share it,
+        # and of a long template a shortened notice is enough
         self.least = {k: LEAST if len(ws) <= 12 else LEAST / 2 for k, ws in self.words.items()}
         self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
         for k, ws in self.words.items():
@@ -129,18 +136,27 @@ class Index:
         if not allowed:
             return out
         tried: set[tuple[str, int]] = set()
-        for at, w in enumerate(words):  # intersect: each posting proposes where its template would start
+        inside = {w for k in allowed for w in self.words[k]}
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for at, w in enumerate(words):
+            if w in inside:
+                places[w].append(at)
+
+        def stands(w: bytes, at: int) -> bool:
+            own = places.get(w, ())
+            i = bisect_left(own, at - GAP)
+            return i < len(own) and own[i] <= at + GAP
+
+        for at, w in enumerate(words):  # intersect: each posting proposes about where its template would start
             for k, i in self.postings.get(w, ()):
-                if k not in allowed or (k, at - i) in tried:
-                    continue
-                tried.add((k, at - i))
-                own, start = self.words[k], at - i
-                got = sum(
-                    self.idf[v] for j, v in enumerate(own) if 0 <= start + j < len(words) and words[start + j] == v
-                )
-                share = got / self.weight[k]
-                if share >= self.least[k] and share > out.get(k, 0):
-                    out[k] = share
+                for start in range(at - i - GAP, at - i + GAP + 1) if k in allowed else ():
+                    if (k, start) in tried:
+                        continue
+                    tried.add((k, start))
+                    got = sum(self.idf[v] for j, v in enumerate(self.words[k]) if stands(v, start + j))
+                    share = got / self.weight[k]
+                    if share >= self.least[k] and share > out.get(k, 0):
+                        out[k] = share
         return out
 
     def _needed(self, label: str, flat: bytes) -> bool:
