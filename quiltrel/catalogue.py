@@ -5,22 +5,21 @@ Every query reads whole tables through a relation. Doubles enter by the lossy do
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltrel.functions import semiring as S
-from quiltrel.functions.values import address
 from quiltrel.operators import algebra as A
 from quiltrel.operators.relation import Rel
-from quiltrel.plans import captures
+from quiltrel.plans import captures, compare
 from quiltrel.plans.builds import Store, transform
 from quiltrel.shipping import ship
-from quiltrel.sources.ingest import ingest, lineage, lowered, source_rows
+from quiltrel.sources.ingest import citations, ingest, lineage, lowered, source_rows
 from quiltrel.streaming import delta as D
-from quiltrel.streaming.ticks import View
+from quiltrel.streaming.nodes import DeltaNode, Maintained, Plan
+from quiltrel.tables import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,8 +39,15 @@ def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
     return lowered(spark.read.parquet(f"{d}/{name}.parquet").select(*cols))
 
 
+#: Columns that no two rows of a table share.
+KEYS = {
+    "region": {"r_regionkey"}, "nation": {"n_nationkey"}, "customer": {"c_custkey"}, "supplier": {"s_suppkey"},
+    "part": {"p_partkey"}, "orders": {"o_orderkey"}, "lineitem": {"l_orderkey", "l_linenumber"}, "events": {"event_id"},
+}
+
+
 def rel(spark: SparkSession, d: str, name: str, *cols: str, semiring: S.Semiring = S.Z) -> Rel:
-    return Rel.of(table(spark, d, name, *cols), semiring)
+    return Rel.of(table(spark, d, name, *cols), semiring, unique=KEYS[name] <= set(cols))
 
 
 LI = ("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
@@ -205,15 +211,19 @@ def distinct_collapse_annotation(spark, d):
 
 
 # -- anti-join
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_SOME = "o_orderstatus = 'F' AND o_orderkey % 4 = 0"
+
+
+@query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_SOME})")
 def anti_join(spark, d):
     c = rel(spark, d, "customer", "c_custkey").map_rows({"k": F.col("c_custkey")})
-    return c.anti_join(rel(spark, d, "orders", "o_custkey").map_rows({"k": F.col("o_custkey")}), ["k"]).map_rows({"c_custkey": F.col("k")}).to_bag()
+    o = rel(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").select(F.expr(_SOME)).map_rows({"k": F.col("o_custkey")})
+    return c.anti_join(o, ["k"]).map_rows({"c_custkey": F.col("k")}).to_bag()
 
 
-@query("SELECT c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query(f"SELECT c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {_SOME})")
 def anti_join_project(spark, d):
-    o = rel(spark, d, "orders", "o_custkey").map_rows({"custkey": F.col("o_custkey")})
+    o = rel(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").select(F.expr(_SOME)).map_rows({"custkey": F.col("o_custkey")})
     return _customers(spark, d).anti_join(o, ["custkey"]).project(["c_mktsegment"]).to_bag()
 
 
@@ -308,6 +318,57 @@ def revenue_by_segment(spark, d):
 flagship = revenue_by_segment
 
 
+@query("SELECT o_orderstatus, CAST(sum(o_custkey % 7 + length(o_orderpriority)) AS BIGINT) AS total FROM orders GROUP BY 1")
+def agg_sum_of_expression(spark, d):
+    o = rel(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return o.aggregate(["o_orderstatus"], A.SUM_LONG, F.col("o_custkey") % 7 + F.length("o_orderpriority"), "total").to_bag()
+
+
+@query("SELECT s_nationkey % 4 AS g, CAST(sum(100 // s_nationkey) AS BIGINT) AS total FROM supplier WHERE s_nationkey <> 0 GROUP BY 1")
+def agg_value_callable(spark, d):
+    ship(spark)
+    s = rel(spark, d, "supplier", "s_suppkey", "s_nationkey").map_rows({"g": F.col("s_nationkey") % 4, "k": F.col("s_nationkey"), "id": F.col("s_suppkey")})
+    return s.aggregate(["g"], A.SUM_LONG, lambda r: 100 // r["k"], "total").to_bag()
+
+
+@query("SELECT 'aggregate' AS operator, 'ZeroDivisionError' AS reason, CAST(count(*) AS BIGINT) AS n FROM supplier WHERE s_nationkey = 0 HAVING count(*) > 0")
+def agg_value_callable_quarantine(spark, d):
+    ship(spark)
+    s = rel(spark, d, "supplier", "s_suppkey", "s_nationkey").map_rows({"g": F.col("s_nationkey") % 4, "k": F.col("s_nationkey"), "id": F.col("s_suppkey")})
+    out = s.aggregate(["g"], A.SUM_LONG, lambda r: 100 // r["k"], "total").quarantine()
+    return out.groupBy("operator", "reason").agg(F.sum("n").cast("long").alias("n"))
+
+
+def _gcd(a, b):
+    while b:
+        a, b = b, a % b
+    return a
+
+
+GCD = A.Monoid("gcd", _gcd, 0, (0, 4, 6, 9), kind="long")
+
+
+@query("SELECT n_regionkey, list_reduce(list(CAST(6 * n_nationkey AS BIGINT)), lambda a, b: gcd(a, b)) AS g FROM nation GROUP BY 1")
+def agg_user_monoid(spark, d):
+    ship(spark)
+    return rel(spark, d, "nation", "n_nationkey", "n_regionkey").aggregate(["n_regionkey"], GCD, (F.col("n_nationkey") * 6).cast("long"), "g").to_bag()
+
+
+@query("SELECT event_id, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') AS ts FROM events")
+def times_as_text(spark, d):
+    return rel(spark, d, "events", "event_id", "ts").to_bag()
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority, true AS b FROM orders")
+def set_annotation(spark, d):
+    return rel(spark, d, "orders", "o_orderstatus", "o_orderpriority", semiring=S.B).annotated()
+
+
+@query(f"SELECT o_orderstatus, {_N} AS l_n, {_N} AS r_l_n, true AS r_r_b FROM orders GROUP BY 1")
+def product_annotation(spark, d):
+    return rel(spark, d, "orders", "o_orderkey", "o_orderstatus", semiring=S.named("Z*(Z*B)")).project(["o_orderstatus"]).annotated()
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12,2)) AS l_extendedprice, CAST(l_tax AS DECIMAL(12,2)) AS l_tax FROM lineitem")
 def lossy_door(spark, d):
     return rel(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_tax").to_bag()
@@ -366,6 +427,16 @@ def lineage_citations(spark, d):
     return lineage(n.project(["n_regionkey"]), source_rows(n, "nation"), ["n_regionkey"]).select("n_regionkey", "ref", "kind", "source")
 
 
+@query(f"SELECT n_regionkey, string_agg('source-row:' || ref, ',' ORDER BY ref) AS cited FROM (SELECT n_regionkey, {_REF} AS ref FROM nation) GROUP BY 1")
+def lineage_of_store(spark, d):
+    store = Store(spark, fresh_folder(spark, "store"))
+    n = ingest(table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), "nation", store)
+    ingest(table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), "nation", store)  # adds nothing
+    out = citations(n.project(["n_regionkey"]).consolidated(), store.rows(), ["n_regionkey"])
+    each = F.transform(F.flatten("citations"), lambda c: F.concat(c["kind"], F.lit(":"), c["ref"]))
+    return out.select("n_regionkey", F.array_join(each, ",").alias("cited"))
+
+
 @query()
 def relation_address(spark, d):
     r = ingest(table(spark, d, "region", "r_regionkey", "r_name"), "region")
@@ -405,37 +476,82 @@ def delta_agg_subtractive(spark, d):
     return out.withColumnRenamed("__rows", "members")
 
 
-def _ticks(view: View, table: DataFrame, key: str) -> Rel:
-    """Arrivals by key modulo 3; tick 1 also retracts a fifth of tick 0, tick 2 lets half of those return."""
-    k = F.col(key)
+def _maintained(spark, d, plan: Plan, cols: tuple[str, ...], **more: DataFrame) -> Maintained:
+    """orders arrive by key modulo 3; tick 1 also retracts a fifth of tick 0, tick 2 lets half of those
+    return. Other sources are whole from tick 0 on, but for their every seventh row, which comes with
+    tick 1."""
+    view = Maintained(spark, fresh_folder(spark, "ticks"), plan)
+    orders, k = table(spark, d, "orders", *cols), F.col("o_orderkey")
     plus = lambda df: df.withColumn("occ", F.lit(1).cast("long"))
     minus = lambda df: df.withColumn("occ", F.lit(-1).cast("long"))
-    gone = table.where((k % 3 == 0) & (k % 5 == 0))
-    view.advance(plus(table.where(k % 3 == 0)), 0)
-    view.advance(plus(table.where(k % 3 == 1)).union(minus(gone)), 1)
-    return view.advance(plus(table.where(k % 3 == 2)).union(plus(gone.where(k % 2 == 0))), 2)
-
+    gone = orders.where((k % 3 == 0) & (k % 5 == 0))
+    late = lambda df: F.col(next(c for c in df.columns if c.endswith("key"))) % 7 == 0
+    view.advance({"orders": plus(orders.where(k % 3 == 0)), **{n: plus(x.where(~late(x))) for n, x in more.items()}}, 0)
+    view.advance({"orders": plus(orders.where(k % 3 == 1)).union(minus(gone)), **{n: plus(x.where(late(x))) for n, x in more.items()}}, 1)
+    view.advance({"orders": plus(orders.where(k % 3 == 2)).union(plus(gone.where(k % 2 == 0)))}, 2)
+    if view.advance({}, 2).rebuilt:
+        raise AssertionError("a tick was done twice")
+    return view
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="quiltrel-ticks-")
 
+_HELD = "NOT (o_orderkey % 15 = 0 AND o_orderkey % 2 = 1)"
 
-def shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{address(_folder())[7:23]}" if base else _folder()
 
-
-@query(f"SELECT o_orderstatus, {_N} AS n FROM orders WHERE NOT (o_orderkey % 15 = 0 AND o_orderkey % 2 = 1) GROUP BY 1")
+@query(f"SELECT o_orderstatus, {_N} AS n FROM orders WHERE {_HELD} GROUP BY 1")
 def stream_orders_ticks(spark, d):
-    view = View(spark, shared(spark), "orders", ("o_orderkey", "o_orderstatus"), lambda r: r.without("Why").project(["o_orderstatus"]))
-    return _ticks(view, table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey").annotated()
-
-
-@query(f"SELECT o_custkey, {_N} AS n FROM orders WHERE NOT (o_orderkey % 15 = 0 AND o_orderkey % 2 = 1) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+    cols = ("o_orderkey", "o_orderstatus")
+    plan = Plan().add("orders", DeltaNode("source", schema=cols)).add("states", DeltaNode("project", columns=["o_orderstatus"]), "orders")
+    return _maintained(spark, d, plan, cols).integral("states").without("Why").annotated()
+
+
+@query(f"SELECT o_orderkey, o_custkey * 2 AS twice FROM orders WHERE {_HELD} AND o_custkey > 50")
+def stream_linear_ticks(spark, d):
+    cols = ("o_orderkey", "o_custkey")
+    plan = (
+        Plan().add("orders", DeltaNode("source", schema=cols)).add("some", DeltaNode("select", predicate="o_custkey > 50"), "orders")
+        .add("out", DeltaNode("map_rows", cells={"o_orderkey": "o_orderkey", "twice": "o_custkey * 2"}), "some")
+    )
+    return _maintained(spark, d, plan, cols).integral("out").without("Why").to_bag()
+
+
+@query(f"SELECT c_mktsegment, o_orderkey, {_N} AS n FROM {_OC} WHERE {_HELD} GROUP BY 1, 2")
+def stream_bilinear_ticks(spark, d):
+    cols = ("o_orderkey", "o_custkey")
+    plan = (
+        Plan().add("orders", DeltaNode("source", schema=cols)).add("customers", DeltaNode("source", schema=("c_custkey", "c_mktsegment")))
+        .add("keyed", DeltaNode("map_rows", cells={"o_custkey": "c_custkey", "c_mktsegment": "c_mktsegment"}), "customers")
+        .add("both", DeltaNode("join", on=["o_custkey"]), "orders", "keyed").add("out", DeltaNode("project", columns=["c_mktsegment", "o_orderkey"]), "both")
+    )
+    return _maintained(spark, d, plan, cols, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").without("Why").annotated()
+
+
+@query(f"SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders WHERE {_HELD} GROUP BY 1")
+def stream_subtractive_ticks(spark, d):
+    cols = ("o_orderkey", "o_custkey", "o_orderstatus")
+    plan = Plan().add("orders", DeltaNode("source", schema=cols)).add("out", DeltaNode("aggregate", by=["o_orderstatus"], algebra="sum-long", value="o_custkey", into="total"), "orders")
+    return _maintained(spark, d, plan, cols).integral("out").without("Why").to_bag()
+
+
+@query(f"SELECT o_orderstatus, CAST(max(o_custkey) AS BIGINT) AS most FROM (SELECT DISTINCT o_orderstatus, o_custkey FROM orders WHERE {_HELD}) GROUP BY 1")
+def stream_distinct_ticks(spark, d):
+    cols = ("o_orderkey", "o_custkey", "o_orderstatus")
+    plan = (
+        Plan().add("orders", DeltaNode("source", schema=cols)).add("pairs", DeltaNode("project", columns=["o_orderstatus", "o_custkey"]), "orders")
+        .add("each", DeltaNode("distinct"), "pairs").add("out", DeltaNode("aggregate", by=["o_orderstatus"], algebra="max", value="o_custkey", into="most"), "each")
+    )
+    return _maintained(spark, d, plan, cols).integral("out").without("Why").to_bag()
+
+
+@query(f"SELECT o_custkey, {_N} AS n FROM orders WHERE {_HELD} AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
 def stream_anti_join_ticks(spark, d):
-    right = rel(spark, d, "customer", "c_custkey", "c_mktsegment").select(F.col("c_mktsegment") == "BUILDING").map_rows({"o_custkey": F.col("c_custkey")})
-    view = View(spark, shared(spark), "orders", ("o_orderkey", "o_custkey"), lambda r: r.without("Why").anti_join(right, ["o_custkey"]).project(["o_custkey"]))
-    return _ticks(view, table(spark, d, "orders", "o_orderkey", "o_custkey"), "o_orderkey").annotated()
+    cols = ("o_orderkey", "o_custkey")
+    plan = (
+        Plan().add("orders", DeltaNode("source", schema=cols)).add("customers", DeltaNode("source", schema=("c_custkey", "c_mktsegment")))
+        .add("building", DeltaNode("select", predicate="c_mktsegment = 'BUILDING'"), "customers")
+        .add("keyed", DeltaNode("map_rows", cells={"o_custkey": "c_custkey"}), "building")
+        .add("left_", DeltaNode("anti_join", on=["o_custkey"]), "orders", "keyed").add("out", DeltaNode("project", columns=["o_custkey"]), "left_")
+    )
+    return _maintained(spark, d, plan, cols, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").without("Why").annotated()
 
 
 # -- builds, captures, comparison
@@ -446,7 +562,7 @@ def nations_of_region_one(nation: Rel) -> Rel:
 
 @query("SELECT n_name FROM nation WHERE n_regionkey = 1")
 def memoised_build_export(spark, d):
-    store = Store(spark, tempfile.mkdtemp(prefix="quiltrel-store-"))
+    store = Store(spark, fresh_folder(spark, "store"))
     ref = store.put(rel(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"))
     store.build(nations_of_region_one, [ref])
     again = store.build(nations_of_region_one, [ref])
@@ -464,15 +580,14 @@ def spend_fold(spark, d):
     return captures.spent(reserved, captured).select("scope", "kind", "spent")
 
 
-@query("SELECT a.o_orderkey AS item FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderstatus <> CASE WHEN b.o_custkey % 7 = 0 THEN 'X' ELSE b.o_orderstatus END")
+@query("SELECT o_orderkey AS item, CAST(0 AS BIGINT) AS \"offset\", 'differs' AS classification FROM orders WHERE o_custkey % 7 = 0 AND o_orderkey % 11 <> 3 UNION ALL SELECT o_orderkey, NULL, 'missing' FROM orders WHERE o_orderkey % 11 = 3")
 def byte_compare(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("item"), "o_custkey", "o_orderstatus")
-    ours = o.select("item", F.when(F.col("o_custkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("other"))
-    return o.join(ours, "item").where(F.encode("o_orderstatus", "UTF-8") != F.encode("other", "UTF-8")).select("item")
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    ours = o.where("o_orderkey % 11 <> 3").select(F.col("o_orderkey").alias("item"), F.when(F.col("o_custkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("output"))
+    return compare.compare(o.select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("output")), ours)
 
 
-@query("SELECT p_brand AS candidate, CAST(sum(p_size) AS BIGINT) * count(DISTINCT p_type) AS weight FROM part GROUP BY 1 ORDER BY 2, 1 LIMIT 1")
+@query("SELECT p_brand AS candidate, CAST(sum(p_size) * count(DISTINCT p_type) AS BIGINT) AS weight FROM part GROUP BY 1 ORDER BY 2, count(DISTINCT p_type), 1 LIMIT 1")
 def select_vertical(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("candidate")).agg((F.sum("p_size").cast("long") * F.countDistinct("p_type")).alias("weight"))
-    least = p.agg(F.min(F.struct("weight", "candidate")).alias("m"))
-    return least.select(F.col("m.candidate").alias("candidate"), F.col("m.weight").alias("weight"))
+    p = table(spark, d, "part", "p_brand", "p_size", "p_type").groupBy(F.col("p_brand").alias("candidate")).agg(F.sum("p_size").alias("loc"), F.collect_set("p_type").alias("operators"))
+    return compare.select_vertical(p).select("candidate", "weight")

@@ -6,6 +6,7 @@ A structure keeps its annotation in one or more physical columns. `add` gives th
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -27,6 +28,10 @@ class Leaf:
     def name(self) -> str:
         return self.kind
 
+    @property
+    def bag(self) -> bool:
+        return True
+
     def leaves(self, path: str = "") -> dict[str, str]:
         return {f"__{path}{ {'Z': 'n', 'B': 'b', 'Why': 'w'}[self.kind] }": self.kind}
 
@@ -41,6 +46,10 @@ class Product:
         part = lambda s: f"({s.name})" if isinstance(s, Product) else s.name
         return f"{part(self.left)}*{part(self.right)}"
 
+    @property
+    def bag(self) -> bool:
+        return self.left.bag and self.right.bag
+
     def leaves(self, path: str = "") -> dict[str, str]:
         return self.left.leaves(path + "l_") | self.right.leaves(path + "r_")
 
@@ -68,6 +77,49 @@ def product(left: Semiring, right: Semiring) -> Semiring:
     return ZxWhy if (left, right) == (Z, Why) else Product(left, right)
 
 
+def named(name: str) -> Semiring:
+    """The structure of a name: Z, B, Why and their products, bracketed as `name` writes them."""
+    parts = re.findall(r"Z|B|Why|\(|\)|\*", name)
+    if "".join(parts) != name:
+        raise SemiringRefused(f"{name!r} names no structure")
+
+    def one_of(i: int) -> tuple[Semiring, int]:
+        if parts[i : i + 1] == ["("]:
+            out, i = pair(i + 1)
+            if parts[i : i + 1] != [")"]:
+                raise SemiringRefused(f"{name!r}: a bracket stays open")
+            return out, i + 1
+        if i >= len(parts) or parts[i] not in ("Z", "B", "Why"):
+            raise SemiringRefused(f"{name!r} names no structure")
+        return Leaf(parts[i]), i + 1
+
+    def pair(i: int) -> tuple[Semiring, int]:
+        left, i = one_of(i)
+        if parts[i : i + 1] != ["*"]:
+            return left, i
+        right, i = one_of(i + 1)
+        return product(left, right), i
+
+    out, end = pair(0)
+    if end != len(parts):
+        raise SemiringRefused(f"{name!r} names no structure")
+    return out
+
+
+def group_slots(s: Semiring) -> tuple[str, ...]:
+    """Columns of the counts."""
+    return tuple(c for c, k in s.leaves().items() if k == "Z")
+
+
+def why_slots(s: Semiring) -> tuple[str, ...]:
+    return tuple(c for c, k in s.leaves().items() if k == "Why")
+
+
+def is_delta(s: Semiring) -> bool:
+    """Can its relations change by difference? Every leaf needs a negation, and one a count."""
+    return "B" not in s.leaves().values() and bool(group_slots(s))
+
+
 def minimal(u: Column) -> Column:
     """Supports without those that strictly contain another; sorted. The cheap case first: supports
     of one ref each never contain one another."""
@@ -85,7 +137,7 @@ def one(kind: str) -> Column:
 
 def add(kind: str, c: str) -> Column:
     if kind == "Z":
-        return F.sum(F.col(c).cast("decimal(38,0)")).cast("long").alias(c)  # casting back refuses what does not fit
+        return F.sum(c).alias(c)  # ANSI arithmetic refuses what does not fit
     if kind == "B":
         return F.bool_or(c).alias(c)
     return minimal(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)

@@ -97,6 +97,35 @@ def is_ref(x: object) -> bool:
     return isinstance(x, str) and REF.fullmatch(x) is not None
 
 
+def ref_hex(ref: str) -> str:
+    """The 64 digits of a ref."""
+    if not is_ref(ref):
+        raise ValueRefused(f"{ref!r} is no ref")
+    return ref[7:]
+
+
+def first_difference(a: bytes, b: bytes) -> int | None:
+    """Offset of the first byte in which two strings differ (the shorter's length, if it begins the longer)."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return None if n == len(a) == len(b) else n
+
+
+def first_difference_column(a: Column, b: Column) -> Column:
+    """The same over two binary columns. Equal ones cost one comparison."""
+    n = F.least(F.octet_length(a), F.octet_length(b))
+    at = F.element_at(
+        F.filter(F.sequence(F.lit(0), n - 1), lambda i: a.substr(i + 1, F.lit(1)) != b.substr(i + 1, F.lit(1))), 1
+    )
+    inside = F.when(a.substr(F.lit(1), n) != b.substr(F.lit(1), n), at).otherwise(n)
+    return F.when(a == b, F.lit(None).cast("int")).otherwise(inside)
+
+
+def nfc_column(text: Column) -> Column:
+    """Unicode form C, by the library that Spark brings for collations. Text below U+0300 is in it already."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), composed).otherwise(text)
+
+
 class Lossy:
     """float -> nearest multiple of a decimal grid, ties to the even multiple, by exact rationals."""
 
@@ -132,7 +161,8 @@ class Lossy:
 
 
 def canonical_column(cells: dict[str, tuple[Column, T.DataType]]) -> Column:
-    """The canonical text of a row, by built-in functions. Strings are taken as NFC already."""
+    """The canonical text of a row, by built-in functions. Strings are taken as NFC already: ingest, and
+    Rel.of with nfc=True, bring them to it."""
     fields = []
     for name in sorted(cells):
         col, kind = cells[name]

@@ -17,16 +17,16 @@ class AlgebraRefused(ValueError):
 
 @dataclass(frozen=True)
 class Monoid:
-    """op(identity, x) = x = op(x, identity), op associative. `spark(value, multiplicity)` is an
-    aggregate that gives the same fold; without one, folding runs over rows in canonical order by
-    `fold(accumulator, value)`, an expression."""
+    """op(identity, x) = x = op(x, identity), op associative. `spark(value, multiplicity or None for once)` is an
+    aggregate that gives the same fold; without one, `op` folds the values in the canonical order of
+    their rows, and results are of the type `kind`."""
 
     name: str
     op: Callable[[Any, Any], Any]
     identity: Any
     witnesses: tuple
-    spark: Callable[[Column, Column], Column] | None = None
-    fold: tuple[Callable[[], Column], Callable[[Column, Column], Column]] | None = None
+    spark: Callable[[Column, Column | None], Column] | None = None
+    kind: str = "string"
 
     def __post_init__(self):
         if not self.witnesses:
@@ -54,12 +54,25 @@ class AbelianGroup(Monoid):
                 raise AlgebraRefused(f"{self.name}: no inverse of {x!r}")
 
 
-def _sum(v: Column, n: Column) -> Column:
+def _sum(v: Column, n: Column | None) -> Column:
+    if n is None:
+        return F.coalesce(F.sum(v), F.lit(0)).cast("decimal(38,4)")
     return F.coalesce(F.sum(v.cast("decimal(38,4)") * n.cast("decimal(18,0)")), F.lit(0)).cast("decimal(38,4)")
 
 
-SUM = Monoid("sum", lambda a, b: a + b, 0, tuple(range(-4, 5)), _sum)
-SUM_GROUP = AbelianGroup("sum", lambda a, b: a + b, 0, tuple(range(-4, 5)), _sum, inverse=lambda a: -a)
-MIN = Monoid("min", lambda a, b: b if a is None else a if b is None else min(a, b), None, (None, -3, 0, 2), lambda v, n: F.min(F.when(n > 0, v)))
-MAX = Monoid("max", lambda a, b: b if a is None else a if b is None else max(a, b), None, (None, -3, 0, 2), lambda v, n: F.max(F.when(n > 0, v)))
-CONCAT = Monoid("concat", lambda a, b: a + b, "", ("", "a", "bc"), fold=(lambda: F.lit(""), lambda acc, v: F.concat(acc, v.cast("string"))))
+def _long_sum(v: Column, n: Column | None) -> Column:
+    # ANSI arithmetic refuses what does not fit
+    return F.coalesce(F.sum(v.cast("long") if n is None else v.cast("long") * n), F.lit(0).cast("long"))
+
+
+def _present(v: Column, n: Column | None) -> Column:
+    return v if n is None else F.when(n > 0, v)
+
+
+SUM = Monoid("sum", lambda a, b: a + b, 0, tuple(range(-12, 13)), _sum)
+SUM_GROUP = AbelianGroup("sum", lambda a, b: a + b, 0, tuple(range(-12, 13)), _sum, inverse=lambda a: -a)
+SUM_LONG = AbelianGroup("sum-long", lambda a, b: a + b, 0, tuple(range(-12, 13)), _long_sum, inverse=lambda a: -a)
+COUNT = AbelianGroup("count", lambda a, b: a + b, 0, tuple(range(-12, 13)), _long_sum, inverse=lambda a: -a)  # of the value 1
+MIN = Monoid("min", lambda a, b: b if a is None else a if b is None else min(a, b), None, (None, -3, 0, 2), lambda v, n: F.min(_present(v, n)))
+MAX = Monoid("max", lambda a, b: b if a is None else a if b is None else max(a, b), None, (None, -3, 0, 2), lambda v, n: F.max(_present(v, n)))
+CONCAT = Monoid("concat", lambda a, b: a + b, "", ("", "a", "bc"))

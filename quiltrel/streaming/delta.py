@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from quiltrel.operators.relation import Rel, RelationRefused, guard
 
 def negate(rel: Rel) -> Rel:
     """Counts inverted, provenance kept."""
+    if not S.is_delta(rel.semiring):
+        raise RelationRefused(f"{rel.semiring.name} has no differences")
     cols = {c: S.negate(k, F.col(c)) for c, k in rel.leaves.items()}
-    return replace(rel, df=rel.df.withColumns(cols))
+    return replace(rel, df=rel.df.withColumns(cols), signed=True, unit=False)
 
 
 def diff(new: Rel, old: Rel) -> Rel:
@@ -36,7 +39,7 @@ def diff(new: Rel, old: Rel) -> Rel:
             anns.append(F.coalesce(F.col(c), F.col(f"__o{c}")).alias(c))
         else:
             raise RelationRefused("only structures with counts have differences")
-    return replace(a, df=both.where(~F.coalesce(same, F.lit(False))).select(*cells, *anns), merged=True)
+    return replace(a, df=both.where(~F.coalesce(same, F.lit(False))).select(*cells, *anns), merged=True, signed=True, unit=False)
 
 
 def apply(base: Rel, delta: Rel, dead: DataFrame | None = None) -> Rel:
@@ -50,30 +53,37 @@ def apply(base: Rel, delta: Rel, dead: DataFrame | None = None) -> Rel:
     for c in counts:
         gone = gone & (F.col(c) == 0)
     df = df.where(~gone) if counts else df
-    out = replace(base, df=df, merged=True)
+    # what is left has a count of 1 or more in its only count slot
+    out = replace(base, df=df, merged=True, unit=False, signed=len(counts) != 1)
     if dead is not None:
         out = without_dead(out, dead)
     return out.checked()
 
 
 def without_dead(rel: Rel, dead: DataFrame) -> Rel:
-    """Supports that hold a dead ref are dropped: exploded and anti-joined, so that no list of dead
-    refs has to fit anywhere."""
+    """Supports that hold a dead ref are dropped: exploded, looked up and put together again by the row
+    itself, so that no list of dead refs has to fit anywhere and a task that runs again finds the same."""
+    rel = rel.consolidated()
     df = rel.df
-    for c in [c for c, k in rel.leaves.items() if k == "Why"]:
+    gone = dead.select(F.col("ref").alias("__ref")).distinct().withColumn("__dead", F.lit(True))
+    for c in S.why_slots(rel.semiring):
         rest = [x for x in df.columns if x != c]
-        flat = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__s", F.explode_outer(c))
-        hit = flat.select("__id", "__s", F.explode_outer("__s").alias("ref")).join(dead.select("ref"), "ref", "left_semi").select("__id", "__s").distinct()
-        live = flat.join(hit, ["__id", "__s"], "left_anti")
-        kept = live.groupBy("__id").agg(F.array_sort(F.collect_list("__s")).alias("__w"))
-        base = flat.select("__id", *rest).dropDuplicates(["__id"])
-        df = base.join(kept, "__id", "left").select(*rest, F.coalesce("__w", S.none_why()).alias(c))
+        flat = df.select(*rest, F.explode_outer(c).alias("__s")).select(*rest, "__s", F.explode_outer("__s").alias("__ref"))
+        seen = flat.join(gone, "__ref", "left").groupBy(*rest, "__s").agg(F.coalesce(F.bool_or("__dead"), F.lit(False)).alias("__hit"))
+        live = F.collect_list(F.when(~F.col("__hit"), F.col("__s")))
+        df = seen.groupBy(*rest).agg(F.array_sort(live).alias(c)).select(*rest, c)
     return replace(rel, df=df)
 
 
-def linear_delta(step: Callable[[Rel], Rel], delta: Rel) -> Rel:
-    """select, project, map_rows and union: the change of the output is the output of the change."""
-    return step(delta)
+LINEAR = ("select", "project", "map_rows", "union")
+
+
+def linear_delta(op: str, *deltas: Rel, **params: Any) -> Rel:
+    """select, project, map_rows and union: the change of the output is the output of the change. No other
+    operator is linear, and none but these is taken."""
+    if op not in LINEAR:
+        raise RelationRefused(f"{op} is not linear")
+    return getattr(deltas[0], op)(*deltas[1:], **params)
 
 
 def join_delta(a_new: Rel, d_a: Rel, b_old: Rel, d_b: Rel, on: Sequence[str]) -> Rel:
@@ -86,11 +96,26 @@ def replace_delta(out_new: Rel, out_old: Rel) -> Rel:
     return diff(out_new, out_old)
 
 
-def group_aggregate_delta(d_in: Rel, by: Sequence[str], group: AbelianGroup, value: Column, into: str, out_old: DataFrame) -> DataFrame:
-    """Totals kept by subtraction. out_old and the result: by..., into, __rows (count of the group);
-    a group whose count reaches 0 goes. Only the change is aggregated."""
+def group_aggregate_delta(d_in: Rel, by: Sequence[str], group: AbelianGroup, value: Column, into: str, out_old: DataFrame | None) -> DataFrame:
+    """Totals kept by subtraction. out_old and the result: by..., into, __rows (count of the group), and
+    the provenance of d_in if it has any. A group whose count reaches 0 goes, one whose count would
+    fall below it is refused. Only the change is aggregated. A null value refuses the job: its group
+    could not be brought back by subtraction."""
+    if not isinstance(group, AbelianGroup) or group.spark is None:
+        raise RelationRefused("subtraction needs a group with an aggregate of its own")
     keys = sorted(by)
-    n = d_in.multiplicity()
-    change = d_in.consolidated().df.withColumns({"__x": value, "__m": n}).groupBy(*keys).agg(group.spark(F.col("__x"), F.col("__m")).alias(into), F.sum("__m").cast("long").alias("__rows"))
-    both = out_old.select(*keys, F.col(into).cast("decimal(38,4)").alias(into), "__rows").unionByName(change)
-    return both.groupBy(*keys).agg(F.sum(into).cast("decimal(38,4)").alias(into), F.sum("__rows").cast("long").alias("__rows")).where("__rows <> 0")
+    slots = S.group_slots(d_in.semiring)
+    if len(slots) != 1:
+        raise RelationRefused("subtraction needs exactly one count")
+    whys = S.why_slots(d_in.semiring)
+    rows = d_in.consolidated().df.withColumns({"__x": value, "__m": F.col(slots[0])})
+    rows = rows.where(guard(F.col("__x").isNull() & (F.col("__m") != 0), "a value of the change is null"))
+    change = rows.groupBy(*keys).agg(group.spark(F.col("__x"), F.col("__m")).alias(into), F.sum("__m").cast("long").alias("__rows"), *(S.add("Why", w) for w in whys))
+    if out_old is None:
+        both = change
+    else:
+        kind = change.schema[into].dataType
+        old = out_old.select(*keys, F.col(into).cast(kind).alias(into), "__rows", *whys)
+        one = F.lit(1).cast("long")
+        both = old.unionByName(change).groupBy(*keys).agg(group.spark(F.col(into), one).alias(into), F.sum("__rows").cast("long").alias("__rows"), *(S.add("Why", w) for w in whys))
+    return both.where(guard(F.col("__rows") < 0, "more was retracted than there was")).where("__rows <> 0")

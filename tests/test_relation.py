@@ -5,7 +5,6 @@ from quiltrel.functions import semiring as S
 from quiltrel.operators import algebra as A
 from quiltrel.operators.relation import OperatorRefused, Rel
 from quiltrel.streaming import delta as D
-from quiltrel.streaming.ticks import View
 
 
 def rows(rel):
@@ -61,11 +60,75 @@ def test_over_retraction_is_refused(ab):
         D.apply(a, D.negate(a.union(a))).df.collect()
 
 
-def test_ticks_reach_the_net_rows(spark, tmp_path):
-    view = View(spark, str(tmp_path), "s", ("k",), lambda r: r.project(["k"]))
-    feed = lambda *r: spark.createDataFrame(list(r), "k long, occ long")
-    view.advance(feed((1, 2), (2, 1)), 0)
-    view.advance(feed((1, -2), (3, 1)), 1)
-    out = view.advance(feed((1, 1)), 2)
-    assert [r[:2] for r in rows(out)] == [(1, 1), (2, 1), (3, 1)]
-    assert rows(view.advance(feed((1, 100)), 2)) == rows(out)  # delivered again: nothing moves
+def test_late_merging_gives_the_same_relations(ab, spark):
+    a, b = ab
+    c = Rel.of(spark.createDataFrame([(1, 10), (4, 4)], "k long, x long"))
+    late = a.union(c).select(F.col("x") > 0).join(b, ["k"]).project(["k", "y"])
+    soon = a.consolidated().union(c.consolidated()).consolidated().select(F.col("x") > 0).join(b.consolidated(), ["k"]).consolidated().project(["k", "y"])
+    assert rows(late) == rows(soon) == [(1, 8, 3), (None, 7, 1)]
+    assert sorted(late.to_bag().collect(), key=str) == sorted(soon.consolidated().to_bag().collect(), key=str)
+
+
+def test_plans_hold_no_needless_exchange(spark):
+    d = "/root/testdata/sf0.001"
+    import __spark_entry__ as entry
+
+    def exchanges(name):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            return entry.queries()[name](spark, d)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    assert [exchanges(n) for n in ("select_gt", "project_one", "agg_two_keys")] == [0, 0, 1]
+    assert exchanges("revenue_by_segment") <= 5
+
+
+def test_a_hot_row_is_repeated_in_chunks(spark):
+    r = Rel.of(spark.createDataFrame([(1, 25_003), (2, 1)], "k long, m long").select("k"), counts=F.when(F.col("k") == 1, 25_003).otherwise(1))
+    assert dict(r.to_bag().groupBy("k").count().collect()) == {1: 25_003, 2: 1}
+
+
+def test_addresses_tell_relations_apart(ab, spark):
+    a, _ = ab
+    same = Rel.of(a.to_bag().repartition(3))
+    assert a.address() == same.address() != a.union(a).address()
+    big = Rel.of(spark.range(3000).withColumnRenamed("id", "k"))
+    other = Rel.of(spark.range(3000).select(F.when(F.col("id") == 77, 3000).otherwise(F.col("id")).alias("k")))
+    assert big.address() == Rel.of(spark.range(3000).select((2999 - F.col("id")).alias("k"))).address() != other.address()
+    assert Rel.of(spark.range(0).withColumnRenamed("id", "k")).address()
+
+
+def test_ordered_fold_keeps_canonical_order(spark):
+    df = spark.createDataFrame([(g, f"{i:03d}") for g in "ab" for i in range(150)], "g string, t string").repartition(7)
+    out = Rel.of(df.union(df.where("t = '005'"))).aggregate(["g"], A.CONCAT, F.col("t"), "s")
+    want = "".join(f"{i:03d}" * (2 if i == 5 else 1) for i in range(150))
+    assert rows(out) == [("a", want, 1), ("b", want, 1)]
+
+
+def _no_five(a, b):
+    if 5 in (a, b):
+        raise ValueError("five")
+    return a + b
+
+
+def test_failing_fold_quarantines_its_group(spark):
+    bad = A.Monoid("no-five", _no_five, 0, (0, 1), kind="long")
+    r = Rel.of(spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "g string, x long"))
+    out = r.aggregate(["g"], bad, F.col("x"), "s")
+    assert rows(out) == [("b", 2, 1)]
+    assert [(q.reason, q.n) for q in out.quarantine().collect()] == [("ValueError", 1)] * 2
+    own = r.aggregate(["g"], A.SUM_LONG, lambda row: 10 // (row["x"] - 5), "s")
+    assert rows(own) == [("a", -3, 1), ("b", -4, 1)] and [q.reason for q in own.quarantine().collect()] == ["ZeroDivisionError"]
+
+
+def test_distinct_and_aggregate_take_counts_only(spark):
+    b = Rel.of(spark.range(3).withColumnRenamed("id", "k"), S.B)
+    assert rows(b.distinct()) == [(0, True), (1, True), (2, True)]
+    assert S.named("Z*(Why*B)").name == "Z*(Why*B)" and S.why_slots(S.ZxWhy) == ("__w",) and not S.is_delta(S.B)
+    with pytest.raises(S.SemiringRefused):
+        S.named("Z*Q")
+    with pytest.raises(Exception, match="linear"):
+        D.linear_delta("distinct", b)

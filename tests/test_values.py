@@ -1,9 +1,11 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
-from quiltrel.functions.values import Lossy, ValueRefused, address, canonical, decanonical
+from quiltrel.functions.values import Lossy, ValueRefused, address, canonical, decanonical, first_difference, first_difference_column, is_ref, nfc_column, ref_hex
 from quiltrel.operators.algebra import AlgebraRefused, Monoid
+from quiltrel.sources.ingest import lowered
 
 
 def test_canonical_text():
@@ -34,3 +36,36 @@ def test_lossy():
 def test_monoid_laws():
     with pytest.raises(AlgebraRefused):
         Monoid("minus", lambda a, b: a - b, 0, (1, 2))
+
+
+def test_refs():
+    ref = address("x")
+    assert is_ref(ref) and len(ref_hex(ref)) == 64 and not is_ref(ref.upper())
+    with pytest.raises(ValueRefused):
+        ref_hex("sha256:1")
+
+
+def test_first_difference(spark):
+    pairs = [(b"", b""), (b"abc", b"abc"), (b"abc", b"abd"), (b"ab", b"abc"), (b"", b"x"), (b"\x00\xff" * 500, b"\x00\xff" * 499 + b"\x01")]
+    df = spark.createDataFrame(pairs, "a binary, b binary")
+    got = [r[0] for r in df.select(first_difference_column(F.col("a"), F.col("b"))).collect()]
+    assert got == [first_difference(a, b) for a, b in pairs] == [None, None, 2, 2, 0, 998]
+
+
+def test_form_c_in_the_engine(spark):
+    import unicodedata
+
+    texts = ["e\u0301", "\u00e9", "plain", "\u1100\u1161", "\u212b", "q\u0323\u0307", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(nfc_column(F.col("t"))).collect()]
+    assert got == [t and unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_times_in_any_zone(spark):
+    df = spark.sql("SELECT timestamp_micros(1704067200100000) AS a, timestamp_micros(1699165800000001) AS b, timestamp_micros(-1) AS c, timestamp_ntz'2024-03-10 02:30:00.5' AS d, date'2024-01-02' AS e")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert tuple(lowered(df).first()) == ("2024-01-01T00:00:00.1Z", "2023-11-05T06:30:00.000001Z", "1969-12-31T23:59:59.999999Z", "2024-03-10T02:30:00.5", "2024-01-02")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
