@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltrel.shipping import ship
+from quiltrel.tables import shared_folder, written
+
+__all__ = ["BLANKS", "WORD", "broadcast_if_small", "documents", "n_words", "shared_folder", "text_or_empty", "written"]
 
 #: White space of the word rules: space and the five ASCII controls 09-0D.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.environ.setdefault("QUILTREL_LOCAL_SHARED", tempfile.mkdtemp(prefix="quiltrel-"))
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost
-    executor costs a reread of files and no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
