@@ -38,6 +38,37 @@ def test_every_kind_of_repeat(spark):
     assert [out[i] for i in range(len(texts))] == list(brute(raws))
 
 
+def test_the_operator_gives_kept_bytes_and_spans_and_the_query_derives_from_them(spark):
+    hot, twice, umlauts = text(80), text(90), "ü" * 199
+    texts = [f"{text(9)} {hot} {text(9)} {twice} é", f"é {hot} {text(30)}", f"{twice}", twice, hot[:399], "x" * 401, None, "a" + umlauts + "ä", "b" + umlauts + "ö", text(200)]
+    ids = [*range(len(texts) - 1), None]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    raws = {i: (t or "").encode() for i, t in zip(ids, texts)}
+    want = dict(zip(ids, brute(raws.values())))
+    rows = S.cut(docs).collect()
+    assert len(rows) == len(ids)
+    for r in rows:
+        raw, spans, at = raws[r.doc_id], [tuple(s) for s in r.spans], 0
+        left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)]))
+        assert left == bytes(r.kept) and r.n_bytes == len(raw)
+        assert (sum(e - s for s, e in spans), len(spans), hashlib.sha256(left).hexdigest()) == want[r.doc_id]
+        for s, e in spans:  # maximal: runs never touch
+            assert at <= s < e and (s > at or not at)
+            at = e
+    assert len({r.doc_id: r.spans for r in rows}[0]) == 2
+    got = S.removals(docs)
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kept = {r.doc_id: bytes(r.kept) for r in rows}
+    assert all(r.text == kept[r.doc_id].decode(errors="replace") for r in got.collect())
+
+
+def test_a_removed_run_may_divide_a_character(spark):
+    docs = spark.createDataFrame([(1, "ä" + "z" * 399), (2, "å" + "z" * 399)], "doc_id long, text string")  # C3 A4, C3 A5
+    shared = spark.createDataFrame([(3, "\u00e4" + "y" * 399 + "1"), (4, "\u0124" + "y" * 399 + "2")], "doc_id long, text string")  # both end in A4
+    got = {r.doc_id: (r.n_removed, r.text) for r in S.removals(docs.union(shared)).collect()}
+    assert got == {1: (0, "ä" + "z" * 399), 2: (0, "å" + "z" * 399), 3: (400, "\ufffd1"), 4: (400, "\ufffd2")}
+
+
 def test_chains_of_anchors_settle_the_inside_of_a_long_repeat(spark):
     shared = text(900)
     docs = spark.createDataFrame([(i, text(50) + shared + text(50)) for i in range(3)], "doc_id long, text string")
