@@ -476,11 +476,11 @@ def delta_agg_subtractive(spark, d):
     return out.withColumnRenamed("__rows", "members")
 
 
-def _maintained(spark, d, plan: Plan, cols: tuple[str, ...], **more: DataFrame) -> Maintained:
+def _maintained(spark, d, plan: Plan, cols: tuple[str, ...], semiring: S.Semiring, **more: DataFrame) -> Maintained:
     """orders arrive by key modulo 3; tick 1 also retracts a fifth of tick 0, tick 2 lets half of those
     return. Other sources are whole from tick 0 on, but for their every seventh row, which comes with
-    tick 1."""
-    view = Maintained(spark, fresh_folder(spark, "ticks"), plan)
+    tick 1. semiring: Z where a query reads counts only, as provenance would be made and not read."""
+    view = Maintained(spark, fresh_folder(spark, "ticks"), plan, semiring)
     orders, k = table(spark, d, "orders", *cols), F.col("o_orderkey")
     plus = lambda df: df.withColumn("occ", F.lit(1).cast("long"))
     minus = lambda df: df.withColumn("occ", F.lit(-1).cast("long"))
@@ -501,7 +501,7 @@ _HELD = "NOT (o_orderkey % 15 = 0 AND o_orderkey % 2 = 1)"
 def stream_orders_ticks(spark, d):
     cols = ("o_orderkey", "o_orderstatus")
     plan = Plan().add("orders", DeltaNode("source", schema=cols)).add("states", DeltaNode("project", columns=["o_orderstatus"]), "orders")
-    return _maintained(spark, d, plan, cols).integral("states").without("Why").annotated()
+    return _maintained(spark, d, plan, cols, S.ZxWhy).integral("states").without("Why").annotated()
 
 
 @query(f"SELECT o_orderkey, o_custkey * 2 AS twice FROM orders WHERE {_HELD} AND o_custkey > 50")
@@ -511,7 +511,7 @@ def stream_linear_ticks(spark, d):
         Plan().add("orders", DeltaNode("source", schema=cols)).add("some", DeltaNode("select", predicate="o_custkey > 50"), "orders")
         .add("out", DeltaNode("map_rows", cells={"o_orderkey": "o_orderkey", "twice": "o_custkey * 2"}), "some")
     )
-    return _maintained(spark, d, plan, cols).integral("out").without("Why").to_bag()
+    return _maintained(spark, d, plan, cols, S.ZxWhy).integral("out").without("Why").to_bag()
 
 
 @query(f"SELECT c_mktsegment, o_orderkey, {_N} AS n FROM {_OC} WHERE {_HELD} GROUP BY 1, 2")
@@ -522,14 +522,14 @@ def stream_bilinear_ticks(spark, d):
         .add("keyed", DeltaNode("map_rows", cells={"o_custkey": "c_custkey", "c_mktsegment": "c_mktsegment"}), "customers")
         .add("both", DeltaNode("join", on=["o_custkey"]), "orders", "keyed").add("out", DeltaNode("project", columns=["c_mktsegment", "o_orderkey"]), "both")
     )
-    return _maintained(spark, d, plan, cols, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").without("Why").annotated()
+    return _maintained(spark, d, plan, cols, S.ZxWhy, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").without("Why").annotated()
 
 
 @query(f"SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders WHERE {_HELD} GROUP BY 1")
 def stream_subtractive_ticks(spark, d):
     cols = ("o_orderkey", "o_custkey", "o_orderstatus")
     plan = Plan().add("orders", DeltaNode("source", schema=cols)).add("out", DeltaNode("aggregate", by=["o_orderstatus"], algebra="sum-long", value="o_custkey", into="total"), "orders")
-    return _maintained(spark, d, plan, cols).integral("out").without("Why").to_bag()
+    return _maintained(spark, d, plan, cols, S.ZxWhy).integral("out").without("Why").to_bag()
 
 
 @query(f"SELECT o_orderstatus, CAST(max(o_custkey) AS BIGINT) AS most FROM (SELECT DISTINCT o_orderstatus, o_custkey FROM orders WHERE {_HELD}) GROUP BY 1")
@@ -539,7 +539,7 @@ def stream_distinct_ticks(spark, d):
         Plan().add("orders", DeltaNode("source", schema=cols)).add("pairs", DeltaNode("project", columns=["o_orderstatus", "o_custkey"]), "orders")
         .add("each", DeltaNode("distinct"), "pairs").add("out", DeltaNode("aggregate", by=["o_orderstatus"], algebra="max", value="o_custkey", into="most"), "each")
     )
-    return _maintained(spark, d, plan, cols).integral("out").without("Why").to_bag()
+    return _maintained(spark, d, plan, cols, S.Z).integral("out").to_bag()
 
 
 @query(f"SELECT o_custkey, {_N} AS n FROM orders WHERE {_HELD} AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
@@ -551,7 +551,7 @@ def stream_anti_join_ticks(spark, d):
         .add("keyed", DeltaNode("map_rows", cells={"o_custkey": "c_custkey"}), "building")
         .add("left_", DeltaNode("anti_join", on=["o_custkey"]), "orders", "keyed").add("out", DeltaNode("project", columns=["o_custkey"]), "left_")
     )
-    return _maintained(spark, d, plan, cols, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").without("Why").annotated()
+    return _maintained(spark, d, plan, cols, S.ZxWhy, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").without("Why").annotated()
 
 
 # -- builds, captures, comparison

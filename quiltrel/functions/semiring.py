@@ -127,6 +127,13 @@ def minimal(u: Column) -> Column:
     return F.array_sort(F.when(F.exists(u, lambda s: F.size(s) != 1), kept).otherwise(u))
 
 
+def once_each(u: Column) -> Column:
+    """Supports once each, sorted. array_distinct compares every pair of arrays; here only neighbours are
+    compared. The outer array binds the sorted one, which would else be sorted anew for each element."""
+    fresh = lambda a: F.filter(a, lambda s, i: ~s.eqNullSafe(F.get(a, i - 1)))
+    return F.element_at(F.transform(F.array(F.sort_array(u)), fresh), 1)
+
+
 def none_why() -> Column:
     return F.expr(f"cast(array() as {WHY})")
 
@@ -140,7 +147,7 @@ def add(kind: str, c: str) -> Column:
         return F.sum(c).alias(c)  # ANSI arithmetic refuses what does not fit
     if kind == "B":
         return F.bool_or(c).alias(c)
-    return minimal(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return minimal(once_each(F.flatten(F.collect_set(c)))).alias(c)
 
 
 def mul(kind: str, a: Column, b: Column) -> Column:

@@ -83,6 +83,13 @@ def ingest_delta(source: str, arrivals: DataFrame | None, retractions: DataFrame
     return out
 
 
+def net_delta(feed: DataFrame, *, nfc: bool = True) -> Rel:
+    """A change of a source by its counts alone: rows with a signed count `occ`, equal ones added up."""
+    names = tuple(sorted(set(feed.columns) - {"occ"}))
+    net = _composed(feed.withColumnRenamed("occ", "__n"), nfc).groupBy(*names).agg(F.sum("__n").cast("long").alias("__n"))
+    return Rel(net.where("__n <> 0"), names, S.Z)
+
+
 def source_rows(rel: Rel, source: str) -> DataFrame:
     """ref, source, row: what lineage reads."""
     return rel.df.select(rel.row_refs(source).alias("ref"), F.lit(source).alias("source"), rel.canon().alias("row"))

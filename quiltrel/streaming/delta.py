@@ -13,6 +13,8 @@ from quiltrel.functions import semiring as S
 from quiltrel.operators.algebra import AbelianGroup
 from quiltrel.operators.relation import Rel, RelationRefused, guard
 
+OVER = "more was retracted than there was"
+
 
 def negate(rel: Rel) -> Rel:
     """Counts inverted, provenance kept."""
@@ -48,7 +50,7 @@ def apply(base: Rel, delta: Rel, dead: DataFrame | None = None) -> Rel:
     df = base.df.unionByName(delta.df).groupBy(*base.schema).agg(*(S.add(k, c) for c, k in base.leaves.items()))
     counts = [c for c, k in base.leaves.items() if k == "Z"]
     for c in counts:
-        df = df.where(guard(F.col(c) < 0, "more was retracted than there was"))
+        df = df.where(guard(F.col(c) < 0, OVER))
     gone = F.lit(True)
     for c in counts:
         gone = gone & (F.col(c) == 0)
@@ -91,6 +93,29 @@ def join_delta(a_new: Rel, d_a: Rel, b_old: Rel, d_b: Rel, on: Sequence[str]) ->
     return d_a.join(b_old, on).union(a_new.join(d_b, on))
 
 
+def presence_delta(old: Rel | None, change: Rel, on: Sequence[str]) -> Rel:
+    """Keys that a relation of counts gains (1) or loses (-1) by a change. Over all columns that is the
+    change of its distinct."""
+    if change.semiring != S.Z:
+        raise RelationRefused("presence follows changes of counts alone")
+    keys = sorted(on)
+    rows = change.df.select(*keys, "__n", F.lit(0).cast("long").alias("__o"))
+    if old is not None:
+        rows = rows.unionByName(old.df.select(*keys, "__n", F.col("__n").alias("__o")))
+    net = rows.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.sum("__o").alias("__o")).where(guard((F.col("__n") < 0) | (F.col("__o") < 0), OVER))
+    sign = (F.col("__n") > 0).cast("long") - (F.col("__o") > 0).cast("long")
+    return Rel(net.select(*keys, sign.alias("__n")).where("__n <> 0"), tuple(keys), S.Z)
+
+
+def anti_join_delta(a_old: Rel | None, d_a: Rel | None, b_old: Rel | None, d_b: Rel | None, b_new: Rel, on: Sequence[str]) -> Rel:
+    """Change of an anti-join over counts: the change of a without partners in new b, and the rows of old a
+    whose last partner went or whose first one came. None: nothing there, or nothing that changed."""
+    parts = [] if d_a is None else [replace(d_a.anti_join(b_new, on), signed=True)]
+    if a_old is not None and d_b is not None:
+        parts.append(a_old.join(negate(presence_delta(b_old, d_b, on)), on))
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+
 def replace_delta(out_new: Rel, out_old: Rel) -> Rel:
     """For distinct, anti_join and folds: recomputed, then differenced."""
     return diff(out_new, out_old)
@@ -118,4 +143,4 @@ def group_aggregate_delta(d_in: Rel, by: Sequence[str], group: AbelianGroup, val
         old = out_old.select(*keys, F.col(into).cast(kind).alias(into), "__rows", *whys)
         one = F.lit(1).cast("long")
         both = old.unionByName(change).groupBy(*keys).agg(group.spark(F.col(into), one).alias(into), F.sum("__rows").cast("long").alias("__rows"), *(S.add("Why", w) for w in whys))
-    return both.where(guard(F.col("__rows") < 0, "more was retracted than there was")).where("__rows <> 0")
+    return both.where(guard(F.col("__rows") < 0, OVER)).where("__rows <> 0")

@@ -9,6 +9,11 @@ anew is derived from the graph:
 * distinct, anti_join, aggregates over other monoids, and all nodes above an anti_join: computed
   anew from the inputs' integrals, and differenced.
 
+A plan whose sinks read counts only is maintained in counts (semiring Z): no refs are made, looked up or
+gathered. Then distinct and anti_join follow changes too, as no support of theirs names what is absent;
+rows of a join's or an anti_join's other side are taken unmerged; and a node none of whose inputs
+changed is not touched.
+
 Under the root every tick leaves each node's change, the ledger of dead refs and, last, a manifest: a
 tick that has one is not done again, so a re-delivered micro-batch changes nothing, and a tick that
 died half-way is done from the start. An integral is the last snapshot and the changes since; nodes
@@ -32,8 +37,8 @@ from quiltrel.files import Files
 from quiltrel.functions import semiring as S
 from quiltrel.functions.values import address, canonical
 from quiltrel.operators.algebra import COUNT, MAX, MIN, SUM_GROUP, SUM_LONG, AbelianGroup, Monoid
-from quiltrel.operators.relation import Rel
-from quiltrel.sources.ingest import ingest_delta
+from quiltrel.operators.relation import Rel, guard
+from quiltrel.sources.ingest import ingest_delta, net_delta
 from quiltrel.streaming import delta as D
 
 COMPACT = 8
@@ -191,8 +196,10 @@ class Plan:
         self.nodes[name] = (node, inputs)
         return self
 
-    def anew(self) -> tuple[str, ...]:
+    def anew(self, semiring: S.Semiring = S.ZxWhy) -> tuple[str, ...]:
         """Nodes computed anew at each tick."""
+        if semiring == S.Z:
+            return tuple(n for n, (x, _) in self.nodes.items() if x.op == "aggregate" and not x.subtractive)
         tainted, out = set(), []
         for name, (node, inputs) in self.nodes.items():
             if node.op == "anti_join" or tainted & set(inputs):
@@ -213,12 +220,14 @@ class Plan:
 
 
 class Maintained:
-    """A plan under a root that holds its state."""
-
-    def __init__(self, spark: SparkSession, root: str, plan: Plan):
-        self.spark, self.plan = spark, plan
-        self.files = Files(spark, f"{root.rstrip('/')}/{plan.address()[7:23]}")
-        self.fresh = set(plan.anew())
+    """A plan under a root that holds its state. semiring: Z where no sink reads provenance."""
+
+    def __init__(self, spark: SparkSession, root: str, plan: Plan, semiring: S.Semiring = S.ZxWhy):
+        if semiring not in (S.Z, S.ZxWhy):
+            raise NodeRefused(f"a plan is maintained in Z or Z*Why, not in {semiring.name}")
+        self.spark, self.plan, self.why = spark, plan, semiring == S.ZxWhy
+        self.files = Files(spark, f"{root.rstrip('/')}/{plan.address()[7:23]}{'' if self.why else '-Z'}")
+        self.fresh = set(plan.anew(semiring))
         self._types: dict[tuple[str, str], T.StructType] = {}
 
     # -- state
@@ -243,7 +252,7 @@ class Maintained:
 
     def dead(self, tick: int | None = None) -> DataFrame:
         tick = self.last() if tick is None else tick
-        return self._read("_ledger", "dead", tick) if tick >= 0 else self.spark.createDataFrame([], "ref string")
+        return self._read("_ledger", "dead", tick) if tick >= 0 and self.why else self.spark.createDataFrame([], "ref string")
 
     def change(self, name: str, tick: int) -> Rel:
         return _rel(self._read(name, "delta", tick))
@@ -254,11 +263,22 @@ class Maintained:
         if tick < 0:
             return None
         snap = self._manifest(tick)["snapshots"].get(name, -1)
-        return self._sum(name, snap, tick, self.dead(tick))
+        return self._sum(name, snap, tick, self.dead(tick) if self.why else None)
+
+    def _rows(self, name: str, snap: int, tick: int) -> Rel:
+        """A node's relation after a tick as its last snapshot and the changes since, equal rows not merged."""
+        parts = [self._read(name, "delta", t) for t in range(snap + 1, tick + 1)]
+        rows = self._read(name, "snap", snap) if snap >= 0 else parts.pop(0)
+        for p in parts:
+            rows = rows.unionByName(p)
+        return replace(_rel(rows), merged=not parts, signed=snap < tick)
 
-    def _sum(self, name: str, snap: int, tick: int, dead: DataFrame) -> Rel:
+    def _sum(self, name: str, snap: int, tick: int, dead: DataFrame | None) -> Rel:
         if snap == tick:
             return replace(_rel(self._read(name, "snap", tick)), signed=False)
+        if dead is None and tick == 0:
+            first = self._rows(name, snap, tick)
+            return replace(first, df=first.df.where(guard(F.col("__n") < 0, D.OVER)), signed=False)
         parts = [self._read(name, "delta", t) for t in range(snap + 1, tick + 1)]
         rest = parts[0]
         for p in parts[1:]:
@@ -276,23 +296,33 @@ class Maintained:
         if tick != before + 1:
             raise TickRefused(f"tick {tick} after {before}")
         snaps = dict(self._manifest(before)["snapshots"]) if before >= 0 else {}
-        old = {n: self.integral(n, before) for n in self.plan.nodes} if before >= 0 else {}
+        then = dict(snaps)  # the snapshots of the tick before
+        old = {n: self.integral(n, before) for n in self.plan.nodes} if before >= 0 and self.why else {}
         changes: dict[str, Rel] = {}
         new: dict[str, Rel] = {}
         bad: DataFrame | None = None
         for name, (node, _) in self.plan.nodes.items():
             if node.op == "source":
                 changes[name] = self._stored(name, self._source_change(name, node, feeds.get(name)), tick)
-        dead = self._ledger(changes, old, tick)
+        dead = self._ledger(changes, old, tick) if self.why else self._covered(changes, then, tick)
+        idle = set() if self.why else {n for n in changes if feeds.get(n) is None}
         for name, (node, inputs) in self.plan.nodes.items():
+            if node.op != "source" and not node.subtractive and idle.issuperset(inputs):
+                idle.add(name)
+                changes[name] = self._stored(name, _rel(self._read(name, "delta", before).limit(0)), tick)
+                new[name] = self._sum(name, snaps.get(name, -1), tick, dead)
+                continue
             if name in self.fresh:
                 out = node.run(*(new[i] for i in inputs)).consolidated()
                 bad = _both(bad, out.quarantined)
                 new[name] = replace(_rel(self._put(out.df, name, "snap", tick)), signed=False)
-                changes[name] = self._stored(name, D.diff(new[name], old[name]) if old else new[name], tick)
+                was = old.get(name) if self.why or before < 0 else self._sum(name, then.get(name, -1), before, None)
+                changes[name] = self._stored(name, D.diff(new[name], was) if was else new[name], tick)
                 snaps[name] = tick
                 continue
-            if node.op == "join":
+            if not self.why and node.op in ("join", "anti_join", "distinct"):
+                changes[name] = self._stored(name, self._followed(node, inputs, changes, idle, then, snaps, tick), tick)
+            elif node.op == "join":
                 (a, b), empty = inputs, lambda r: replace(r, df=r.df.limit(0))
                 b_old = old[b] if old else empty(new[b])
                 moved = D.join_delta(new[a], changes[a], b_old, changes[b], node["on"])
@@ -314,7 +344,35 @@ class Maintained:
 
     def _readers(self, name: str) -> int:
         """Nodes that read the node's integral rather than its change."""
-        return sum(name in inputs for n, (node, inputs) in self.plan.nodes.items() if n in self.fresh or node.op == "join")
+        return sum(name in inputs for n, (node, inputs) in self.plan.nodes.items() if n in self.fresh or node.op == "join" or node.op in _ANEW)
+
+    def _followed(self, node: DeltaNode, inputs: tuple[str, ...], changes: dict[str, Rel], idle: set[str], then: dict[str, int], snaps: dict[str, int], tick: int) -> Rel:
+        """The change of a join, an anti_join or a distinct over counts, from the changes of its inputs and
+        the rows of the side that each of them meets."""
+        was = lambda n: self._rows(n, then.get(n, -1), tick - 1) if tick else None
+        moved = [None if i in idle else changes[i] for i in inputs]
+        if node.op == "distinct":
+            return D.presence_delta(was(inputs[0]), moved[0], changes[inputs[0]].schema)
+        now = [self._rows(i, snaps.get(i, -1), tick) for i in inputs]
+        a_old, b_old = map(was, inputs)
+        if node.op == "anti_join":
+            return D.anti_join_delta(a_old, moved[0], b_old, moved[1], now[1], node["on"])
+        parts = [] if moved[0] is None or b_old is None else [moved[0].join(b_old, node["on"])]
+        parts += [] if moved[1] is None else [now[0].join(moved[1], node["on"])]
+        return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+    def _covered(self, changes: dict[str, Rel], then: dict[str, int], tick: int) -> None:
+        """Refuses the tick if a source gives up more of a row than it holds. Only rows that go are looked up."""
+        for name, change in changes.items():
+            gone = change.df.where("__n < 0")
+            if gone.isEmpty():
+                continue
+            if tick:
+                held, keys = self._rows(name, then.get(name, -1), tick - 1).df, gone.withColumnsRenamed({c: f"__g_{c}" for c in change.schema})
+                same = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in change.schema]
+                gone = gone.unionByName(held.join(keys.drop("__n"), same, "left_semi"))
+            if gone.groupBy(*change.schema).agg(F.sum("__n").alias("__n")).where("__n < 0").count():
+                raise TickRefused(f"{name}: {D.OVER}")
 
     def _stored(self, name: str, change: Rel, tick: int) -> Rel:
         return _rel(self._put(change.consolidated().df, name, "delta", tick))
@@ -326,6 +384,8 @@ class Maintained:
             return _rel(self._read(name, "delta", self.last()).limit(0))
         if set(feed.columns) != {*node["schema"], "occ"}:
             raise TickRefused(f"{name}: {node['schema']} and occ are asked for, not {feed.columns}")
+        if not self.why:
+            return net_delta(feed)
         net = feed.groupBy(*node["schema"]).agg(F.sum("occ").cast("long").alias("occ"))
         come, go = net.where("occ > 0"), net.where("occ < 0").withColumn("occ", -F.col("occ"))
         return ingest_delta(name, come, go)
@@ -344,16 +404,17 @@ class Maintained:
         dead = self.dead(tick - 1).union(touched).distinct().join(alive, "ref", "left_anti")
         return self._put(dead, "_ledger", "dead", tick)
 
-    def _subtracted(self, name: str, node: DeltaNode, change: Rel, old: Rel | None, dead: DataFrame, tick: int) -> Rel:
+    def _subtracted(self, name: str, node: DeltaNode, change: Rel, old: Rel | None, dead: DataFrame | None, tick: int) -> Rel:
         group = _ALGEBRAS[node["algebra"]]
-        known = self._read(name, "totals", tick - 1) if old is not None else None
+        known = self._read(name, "totals", tick - 1) if tick else None
         totals = D.group_aggregate_delta(change, node["by"], group, node.value(), node["into"], known)
-        cols = sorted({*node["by"], node["into"]})
+        cols, one = sorted({*node["by"], node["into"]}), F.lit(1).cast("long").alias("__n")
+        if not self.why and known is not None:
+            old = _rel(known.select(*cols, one))
         if "__w" in totals.columns:
             kept = D.without_dead(Rel(totals.withColumnRenamed("__rows", "__n"), tuple(cols)), dead)
             totals = kept.df.withColumnRenamed("__n", "__rows")
         totals = self._put(totals, name, "totals", tick)
-        one = F.lit(1).cast("long").alias("__n")
         out = _rel(totals.select(*cols, one, *(c for c in totals.columns if c == "__w")))
         return self._stored(name, D.diff(out, old) if old is not None else out, tick)
 
