@@ -88,7 +88,7 @@ def test_a_sum_of_many_supports_is_not_quadratic(spark):
 
 
 #: queries whose results are counts: their ticks make no refs
-COUNTED = ("stream_distinct_ticks", "stream_orders_ticks")
+COUNTED = ("stream_distinct_ticks", "stream_orders_ticks", "stream_subtractive_ticks")
 
 
 @pytest.mark.parametrize("name", COUNTED)
