@@ -522,7 +522,7 @@ def stream_bilinear_ticks(spark, d):
         .add("keyed", DeltaNode("map_rows", cells={"o_custkey": "c_custkey", "c_mktsegment": "c_mktsegment"}), "customers")
         .add("both", DeltaNode("join", on=["o_custkey"]), "orders", "keyed").add("out", DeltaNode("project", columns=["c_mktsegment", "o_orderkey"]), "both")
     )
-    return _maintained(spark, d, plan, cols, S.ZxWhy, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").without("Why").annotated()
+    return _maintained(spark, d, plan, cols, S.Z, customers=table(spark, d, "customer", "c_custkey", "c_mktsegment")).integral("out").annotated()
 
 
 @query(f"SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders WHERE {_HELD} GROUP BY 1")
