@@ -88,7 +88,7 @@ def test_a_sum_of_many_supports_is_not_quadratic(spark):
 
 
 #: queries whose results are counts: their ticks make no refs
-COUNTED = ("stream_distinct_ticks", "stream_orders_ticks", "stream_subtractive_ticks", "stream_bilinear_ticks", "stream_anti_join_ticks")
+COUNTED = ("stream_distinct_ticks", "stream_orders_ticks", "stream_subtractive_ticks", "stream_bilinear_ticks", "stream_anti_join_ticks", "stream_linear_ticks")
 
 
 @pytest.mark.parametrize("name", COUNTED)
